@@ -108,7 +108,9 @@ def _compress(groups: Column) -> Column:
 def ipv6_text(buf: Column, offset=0) -> Column:
     """Canonical text: lower case, ``::`` for the longest zero run, dotted form for IPv4-mapped."""
     mapped = F.hex(cut(buf, offset, 12)) == F.lit("0" * 20 + "FFFF")
-    return F.when(mapped, ipv4_text(buf, offset + 12)).otherwise(_compress(_ipv6_groups(buf, offset)))
+    # the one-element transform names the group text, so that its many uses below share one evaluation
+    text = F.element_at(F.transform(F.array(_ipv6_groups(buf, offset)), _compress), 1)
+    return F.when(mapped, ipv4_text(buf, offset + 12)).otherwise(text)
 
 
 def ip_text(buf: Column) -> Column:
