@@ -201,7 +201,7 @@ def v5_to_flow(flows: DataFrame) -> DataFrame:
             "src_port": F.col("SrcPort"),
             "dst_port": F.col("DstPort"),
             "ip_protocol": F.col("ProtType"),
-            "tcp_flags": F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("TCPFlags"), 2, "0"))),
+            "tcp_flags": F.format_string("0x%02x", "TCPFlags"),
             "packets": F.col("PktCount"),
             "bytes": F.col("L3Octets"),
             "sampling_rate": F.col("sampling_interval"),
@@ -249,9 +249,7 @@ def sflow_to_flow(packets: DataFrame) -> DataFrame:
             "src_port": F.coalesce("l4_tcp.SrcPort", "l4_udp.SrcPort"),
             "dst_port": F.coalesce("l4_tcp.DstPort", "l4_udp.DstPort"),
             "ip_protocol": F.coalesce("l3_v4.Protocol", "l3_v6.NextHeader"),
-            "tcp_flags": F.when(
-                F.col("l4_tcp").isNotNull(), F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("l4_tcp.Flags"), 2, "0")))
-            ),
+            "tcp_flags": F.when(F.col("l4_tcp").isNotNull(), F.format_string("0x%02x", "l4_tcp.Flags")),
             "packets": F.lit(1),
             "bytes": F.col("FrameLength"),
             "sampling_rate": F.col("SamplingRate"),

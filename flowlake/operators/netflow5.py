@@ -108,3 +108,17 @@ def netflow5_flow_times(flows: DataFrame) -> DataFrame:
             "flow_end": F.timestamp_millis(boot + F.col("EndTime")),
         }
     )
+
+
+def netflow5_messages(datagrams: DataFrame) -> DataFrame:
+    """One row per packet in message form: ``AgentID, Header, Flows``."""
+    packets = netflow5_header(datagrams).where(F.col("reason").isNull())
+    keep = [c for c in ("recv_ts", "msg_id") if c in datagrams.columns]
+
+    def flow(i: Column) -> Column:
+        base = F.lit(HEADER_BYTES) + F.lit(RECORD_BYTES) * i
+        return F.struct(*[_read(F.col("payload"), name, base + offset, width) for name, offset, width in RECORD_FIELDS])
+
+    flows = F.transform(F.sequence(F.lit(0), F.col("Count") - 1), flow)
+    header = F.struct(*[name for name, _, _ in HEADER_FIELDS])
+    return packets.select(*keep, F.col("agent").alias("AgentID"), header.alias("Header"), flows.alias("Flows"))

@@ -7,12 +7,14 @@ start, settle what a broken set does to its message, slice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import bytes as b
+from flowlake.functions.columns import settle
 from flowlake.functions.values import is_literal, value_text
 from flowlake.operators import templates as t
+from flowlake.operators.flows import PROFILES
 from flowlake.operators.templates import Framing
 
 KEYS = ("agent",)
@@ -144,15 +146,19 @@ def usable_sets(status: DataFrame, framing: Framing, on_error: str = "drop_messa
     return kept.drop("first_bad").where(~skipped)
 
 
+def record_plan() -> Column:
+    """One entry per record of a set: null for a record of fixed size, else its field places."""
+    empty = F.lit(None).cast(f"array<{_SPAN}>")
+    return F.when(F.col("variable"), F.col("walked.records")).otherwise(F.array_repeat(empty, F.col("starts")))
+
+
 def slice_records(sets: DataFrame, reduced_size: str = "hex") -> DataFrame:
     """One row per record with its ``fields``: ``I`` id, ``V`` text, ``E`` enterprise, ``num``, ``scope``."""
     keep = [c for c in (*KEYS, "recv_ts", "msg_id", "Header", "set_ix", "template_id") if c in sets.columns]
-    plan = F.when(F.col("variable"), F.col("walked.records")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest("starts", F.lit(1))), lambda i: F.lit(None).cast(f"array<{_SPAN}>"))
-    )
-    rows = sets.where("variable OR starts > 0").select(
-        *keep, "body", "record_bytes", F.col("fields").alias("template"), F.posexplode(plan).alias("record_ix", "spans")
+    planned = settle(
+        sets.select(*keep, "body", "record_bytes", F.col("fields").alias("template"), record_plan().alias("plan")), "plan"
     )
+    rows = planned.select(*keep, "body", "record_bytes", "template", F.posexplode("plan").alias("record_ix", "spans"))
 
     def field(f, i):
         raw = F.when(
@@ -212,3 +218,61 @@ def decode_report(
     )
     sets = unresolved_sets(datagrams, framing, elements, registry).select(*KEYS, F.col("template_id").alias("set_id"), "reason")
     return rejects.unionByName(sets).groupBy(*KEYS, "set_id", "reason").agg(F.count("*").alias("n"))
+
+
+def flow_table(
+    datagrams: DataFrame,
+    framing: Framing,
+    elements: DataFrame,
+    registry: DataFrame | None = None,
+    reduced_size: str = "hex",
+    on_error: str = "drop_message",
+    profile: str = "full",
+) -> DataFrame:
+    """Data records straight to wide flow rows; only the wanted fields are sliced.
+
+    Where each column sits in a record is worked out per template, so a data record costs one
+    slice and one conversion per column, in generated code. Records of option templates are no flows.
+    """
+    status = set_status(resolved_sets(datagrams, framing, elements, registry), framing)
+    sets = usable_sets(status, framing, on_error)
+    seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
+    flows_only = sets.where(~F.exists("fields", lambda f: f["scope"]))
+    columns = PROFILES[profile]
+
+    def place(wanted):
+        own = F.filter("fields", lambda f: f["element_id"].isin(*wanted) & (f["enterprise"] == 0))
+        return F.try_element_at(own, F.lit(-1))
+
+    placed = flows_only.select(
+        "agent", "recv_ts", "msg_id", F.timestamp_seconds(seconds).alias("export_time"), "body", "record_bytes",
+        record_plan().alias("plan"),
+        *[place(wanted).alias(f"_{name}") for name, wanted, _, _ in columns],
+    )
+    placed = settle(placed, "plan")
+    keep = ["agent", "recv_ts", "msg_id", "export_time", "body", "record_bytes", *[f"_{name}" for name, _, _, _ in columns]]
+    rows = placed.select(*keep, F.posexplode("plan").alias("record_ix", "spans"))
+    start = F.col("record_ix") * F.col("record_bytes")
+    raws = {}
+    for name, _, _, _ in columns:
+        f = F.col(f"_{name}")
+        span = F.get("spans", f["ix"])
+        raws[f"raw_{name}"] = b.cut(
+            F.col("body"), F.coalesce(span["off"], start + f["off"]), F.coalesce(span["len"], f["length"])
+        )
+    cut = rows.withColumns(raws)
+    wide = []
+    for name, _, type_name, default in columns:
+        f, raw = F.col(f"_{name}"), F.col(f"raw_{name}")
+        if type_name == "string":
+            value = value_text(raw, f["kind"], f["width"], reduced_size)
+        else:
+            whole = (f["kind"] == "uint") & ((F.length(raw) >= f["width"]) | F.lit(reduced_size == "widen"))
+            value = F.when(whole, b.digits(b.cut(raw, 0, f["width"])).try_cast(type_name))
+        wide.append(F.coalesce(value, F.lit(default).cast(type_name)).alias(name))
+    lead = {
+        "full": [F.col("export_time").alias("exportTime")],
+        "tsv": [F.col("agent").alias("device"), F.date_format("export_time", "yyyy-MM-dd HH:mm:ss").alias("datetime")],
+        "asn": [F.to_date("export_time").alias("date"), F.col("export_time").alias("time"), F.col("agent").alias("device")],
+    }[profile]
+    return cut.select("agent", "recv_ts", "msg_id", *lead, *wide)

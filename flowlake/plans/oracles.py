@@ -75,8 +75,6 @@ TSV = f"""agent AS device, {_SRC} AS src, {_DST} AS dst, {_HOP.format('unknown')
 ASN = f"""(to_timestamp(export_seconds)::TIMESTAMP)::DATE AS date, to_timestamp(export_seconds)::TIMESTAMP AS time, agent AS device,
   {_SRC} AS src, {_DST} AS dst, coalesce({_SRC_AS}, 0) AS "srcASN", coalesce({_DST_AS}, 0) AS "dstASN", proto"""
 
-_KEY = "l_orderkey AS seq, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp"
-
 # ------------------------------------------------------------------ v5
 
 V5_LEGS = f"""legs AS (
@@ -154,7 +152,7 @@ SF = f"""sf AS (
     {_PROTO} AS ip_proto, {_SRC_PORT} AS sp, {_DST_PORT} AS dp, {_agent('l_suppkey')} AS agent, l_orderkey * 8 + l_linenumber AS msg_id,
     l_quantity = 50 AND l_returnflag != 'N' AS bad
   FROM lineitem), good AS (SELECT * FROM sf WHERE NOT bad)"""
-_SF_KEY = "agent, msg_id, l_partkey AS part"
+_SF_KEY = "agent, msg_id"
 _SF_L3 = "CASE WHEN raw THEN 0 WHEN l_linestatus = 'F' THEN 18 ELSE 14 END"
 _SF_L4_BYTES = "CASE ip_proto WHEN 6 THEN 20 ELSE 8 END"
 _SF_HEADER_LEN = f"({_SF_L3} + CASE WHEN six THEN 40 ELSE 20 END + {_SF_L4_BYTES})"
@@ -166,7 +164,7 @@ def _hex_pairs(value: str) -> str:
 
 def _six(prefix: str, key: str) -> str:
     """Text of prefix:: and a 32-bit tail."""
-    return f"'{prefix}' || CASE WHEN {key} >= 65536 THEN lower(to_hex({key} // 65536)) || ':' ELSE '' END || lower(to_hex({key} % 65536))"
+    return f"'{prefix}' || CASE WHEN {key} >= 65536 THEN lower(to_hex({key} // 65536)) || ':' ELSE '' END || CASE WHEN {key} = 0 THEN '' ELSE lower(to_hex({key} % 65536)) END"
 
 
 def _counter_sql(kind: str) -> str:
@@ -274,7 +272,7 @@ def statements() -> dict[str, str]:
   UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN 1 ELSE 0 END, tid, {{4}} FROM msgs
   UNION ALL SELECT o_orderkey, 2, 600, {{5}} FROM msgs WHERE o_orderstatus = 'P'"""
     sql["ipfix_sets"] = f"WITH {TPL} " + sets.format(2, 3, 52, 20, _DATA_BYTES, 20)
-    sql["netflow9_sets"] = f"WITH {TPL} " + sets.format(0, 1, 52, 18, "63 * (1 + o_orderkey % 3)", 9)
+    sql["netflow9_sets"] = f"WITH {TPL} " + sets.format(0, 1, 52, 18, "56 * (1 + o_orderkey % 3)", 9)
     template = """[ROW(0, 8, 4, 0), ROW(1, 12, 4, 0), ROW(2, iface, 4, 0), ROW(3, 4, 1, 0), ROW(4, 6, CASE WHEN wide THEN 2 ELSE 1 END, 0), ROW(5, 7, 2, 0),
   ROW(6, 11, 2, 0), ROW(7, 1, CASE WHEN wide THEN 8 ELSE 4 END, 0), ROW(8, 152, 8, 0), ROW(9, 82, CASE WHEN named THEN 65535 ELSE 4 END, 0),
   ROW(10, 1, 8, 29305)]::STRUCT(ix BIGINT, id BIGINT, n BIGINT, e BIGINT)[]"""
@@ -307,19 +305,17 @@ def statements() -> dict[str, str]:
     sql["netflow9_header"] = f"""WITH {TPL} SELECT agent, o_orderkey AS msg_id, 9 AS "Version", 1 + o_orderkey % 3 AS "Count", 357280 AS "SysUpTime",
   epoch(o_orderdate)::BIGINT AS "UNIXSecs", o_orderkey AS "SeqNum", o_custkey % 16 AS "SrcID" FROM msgs"""
     sql["unresolved_report"] = sql["netflow9_report"] = f"WITH {TPL} SELECT agent, tid AS set_id, 'unknown template' AS reason, count(*) AS n FROM known WHERE tpl_msg IS NULL GROUP BY ALL"
-    v = "(o_orderkey * 1152921504606847 + CAST(round(o_totalprice * 100) AS BIGINT))"
     sql["interpret_value"] = f"""WITH r AS (SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) * 1000003 AS v FROM orders), h AS (SELECT *, lpad(lower(to_hex(v)), 16, '0') AS x FROM r)
   SELECT key, unnest(['unsigned64', 'unsigned32', 'unsigned16', 'unsigned8', 'signed64', 'octetArray', 'macAddress', 'boolean', 'ipv4Address', 'ipv6Address', 'dateTimeSeconds']) AS type,
     unnest([v::VARCHAR, (v >> 32)::VARCHAR, (v >> 48)::VARCHAR, (v >> 56)::VARCHAR, v::VARCHAR, '0x' || x,
       array_to_string([substr(x, i, 2) FOR i IN [1, 3, 5, 7, 9, 11, 13, 15]], ':'), CASE WHEN v >> 56 = 1 THEN 'true' ELSE 'false' END, '?' || x, '0x' || x, (v >> 32)::VARCHAR]) AS value FROM h"""
-    del v
     sql["text_helpers"] = f"""SELECT o_orderkey AS key, '172.16.' || (o_orderkey // 256) % 256 || '.' || o_orderkey % 256 AS ipv4,
   {_six('2001:db8::', 'o_orderkey')} AS ipv6, '02:00:' || {_hex_pairs('o_orderkey')} AS mac, '0x' || lpad(lower(to_hex(o_orderkey)), 8, '0') AS hex FROM orders"""
 
     # sFlow
     agent6 = _six("2001:db8::", "l_suppkey")
     sql["sflow_header"] = f"""WITH {SF} SELECT agent, msg_id, 5 AS "Version", CASE WHEN l_linestatus = 'O' THEN 2 ELSE 1 END AS "IPVersion",
-  CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_suppkey = 0 THEN '2001:db8::' ELSE {agent6} END ELSE agent END AS "IPAddress", 7 AS "AgentSubID", l_orderkey AS "SequenceNo",
+  CASE WHEN l_linestatus = 'O' THEN {agent6} ELSE agent END AS "IPAddress", 7 AS "AgentSubID", l_orderkey AS "SequenceNo",
   3600000 AS "SysUpTime", CASE WHEN strange THEN 3 ELSE 2 END AS "SamplesNo", epoch(l_shipdate)::BIGINT AS "ColTime" FROM sf"""
     counter_bytes = "CASE l_linenumber % 6 WHEN 1 THEN 88 WHEN 2 THEN 52 WHEN 3 THEN 72 WHEN 4 THEN 80 WHEN 5 THEN 28 ELSE 28 END"
     flow_bytes = f"32 + 3 * 8 + 32 + 16 + (({_SF_HEADER_LEN} + 3) // 4) * 4"
@@ -349,7 +345,7 @@ def statements() -> dict[str, str]:
     sql["udp_layer"] = f"""WITH {SF} SELECT {_SF_KEY}, sp AS "SrcPort", dp AS "DstPort" FROM good WHERE ip_proto = 17"""
     sql["icmp_layer"] = f"""WITH {SF} SELECT {_SF_KEY}, 8 AS "Type", qty AS "Code", '0x' || lpad(lower(to_hex(l_partkey)), 8, '0') AS "RestHeader" FROM good WHERE ip_proto IN (1, 58)"""
     sql["tee_raw"] = sql["stream_tee_raw"] = f"""SELECT family, agent, count(*) AS n FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'ipv6' ELSE 'ipv4' END AS family,
-  CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_suppkey = 0 THEN '2001:db8::' ELSE {agent6} END ELSE {_agent('l_suppkey')} END AS agent FROM lineitem) GROUP BY ALL"""
+  CASE WHEN l_linestatus = 'O' THEN {agent6} ELSE {_agent('l_suppkey')} END AS agent FROM lineitem) GROUP BY ALL"""
 
     # collector statistics
     sql["collector_counters"] = f"WITH {_EV} SELECT host, proto, count(*) AS udp_count, count(*) FILTER (decoded) AS decoded_count, count(*) FILTER (err) AS mq_error_count FROM ev GROUP BY ALL"
