@@ -59,8 +59,8 @@ def signed(value: Column, bits: int) -> Column:
 
 
 def pack(value: Column, n: int) -> Column:
-    """Big-endian ``n``-byte form of a non-negative number."""
-    text = F.lpad(F.hex(value.cast("bigint")), 2 * n, "0")
+    """The low ``n`` bytes of a number, big-endian."""
+    text = F.lpad(F.hex(value.cast("bigint")), 16, "0")
     return F.unhex(F.right(text, F.lit(2 * n)))
 
 

@@ -50,7 +50,7 @@ def _address(prefix: str, key: str) -> str:
 
 
 def _word(value: str | int, n: int) -> str:
-    return f"unhex(right(lpad(hex(CAST({value} AS BIGINT)), {2 * n}, '0'), {2 * n}))"
+    return f"unhex(right(lpad(hex(CAST({value} AS BIGINT)), 16, '0'), {2 * n}))"
 
 
 def _words(*parts: tuple[str | int, int]) -> str:

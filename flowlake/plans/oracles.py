@@ -239,7 +239,9 @@ def statements() -> dict[str, str]:
     match = f"""WITH {LINE_FIELDS} SELECT agent, l_orderkey AS seq, leg AS record_ix FROM fields WHERE element_id = 12 AND value = '172.16.0.7'"""
     sql["match_element"] = sql["stream_match_element"] = match
     sql["match_element_numeric"] = f"""WITH {LINE_FIELDS} SELECT agent, l_orderkey AS seq, leg AS record_ix FROM fields WHERE element_id = 4 AND value = '6'"""
-    sql["stop_at_element"] = f"""WITH {LINE_LEGS} SELECT agent, l_orderkey AS seq, leg AS record_ix, octets FROM legs WHERE NOT (l_returnflag = 'R' AND leg >= 1)"""
+    sql["stop_at_element"] = f"""SELECT {_agent('o_custkey')} AS agent, l_orderkey AS seq, leg AS record_ix, {_OCTETS} + leg AS octets
+  FROM (SELECT lineitem.*, unnest(range(0, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 1 + l_linenumber % 3 END)) AS leg FROM lineitem)
+  JOIN orders ON l_orderkey = o_orderkey"""
     sql["drop_empty"] = f"""SELECT {_agent('o_custkey')} AS agent, l_orderkey AS seq, 1 + l_linenumber % 3 - CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS records
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE 1 + l_linenumber % 3 - CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END > 0"""
     sql["keep_recent"] = full.replace("FROM legs", "FROM legs WHERE export_seconds >= (SELECT max(export_seconds) - 60 * 1440 FROM legs)")
