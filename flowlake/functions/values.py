@@ -6,6 +6,8 @@ worked out once per template, so that the per-field CASE below stays short.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ TYPE_KINDS = {
 
 def _signed_text(raw: Column, width: Column) -> Column:
     value = b.digits(raw).cast("decimal(20,0)")
-    half = F.pow(F.lit(2.0), F.lit(8) * width - F.lit(1)).cast("decimal(20,0)")
-    return F.when(value >= half, (value - half - half).cast("decimal(20,0)")).otherwise(value).cast("string")
+    half = F.try_element_at(F.array(*[F.lit(Decimal(2 ** (8 * n - 1))).cast("decimal(20,0)") for n in range(1, 9)]), F.greatest(width, F.lit(1)))
+    number = F.when(value >= half, (value - half - half).cast("decimal(20,0)")).otherwise(value)
+    return F.when(width > 0, number).cast("string")
 
 
 def value_text(raw: Column, kind: Column, width: Column, reduced_size: str = "hex") -> Column:
