@@ -71,6 +71,22 @@ def value_text(raw: Column, kind: Column, width: Column, reduced_size: str = "he
     )
 
 
+def column_text(raw: Column, kind: Column, width: Column, reduced_size: str = "hex") -> Column:
+    """``value_text`` for use many times in one projection.
+
+    The usual cases (whole numbers and IPv4 addresses of full size) stay in generated code; the rest
+    goes through a one-element transform, which keeps the generated method small enough to compile.
+    """
+    entry = F.array(F.struct(raw.alias("raw"), kind.alias("kind"), width.alias("width")))
+    rest = F.element_at(F.transform(entry, lambda f: value_text(f["raw"], f["kind"], f["width"], reduced_size)), 1)
+    return (
+        F.when(raw.isNull(), F.lit(None).cast("string"))
+        .when((kind == "uint") & (F.length(raw) >= width), b.digits(b.cut(raw, 0, width)))
+        .when((kind == "ip") & (width == 4) & (F.length(raw) == 4), b.ipv4_text(raw))
+        .otherwise(rest)
+    )
+
+
 def _widened(kind: Column, raw: Column, reduced_size: str) -> Column:
     if reduced_size == "hex":
         return F.lit(False)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions import bytes as b
 from flowlake.functions.columns import settle
-from flowlake.functions.values import is_literal, value_text
+from flowlake.functions.values import column_text, is_literal, value_text
 from flowlake.operators import templates as t
 from flowlake.operators.flows import PROFILES
 from flowlake.operators.templates import Framing
@@ -57,12 +57,16 @@ def announcements(datagrams: DataFrame, framing: Framing, registry: DataFrame |
     return seen if registry is None else seen.unionByName(registry.select(*columns))
 
 
-def resolved_sets(
+def typed_versions(
     datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
 ) -> DataFrame:
-    """Every data set with its typed template; ``template`` columns are null where unknown."""
+    """Change points of all templates, ready to slice with."""
     versions = t.template_versions(announcements(datagrams, framing, registry), KEYS)
-    typed = t.type_templates(versions, elements, framing.enterprise, KEYS)
+    return t.type_templates(versions, elements, framing.enterprise, KEYS)
+
+
+def resolved_sets(datagrams: DataFrame, framing: Framing, typed: DataFrame) -> DataFrame:
+    """Every data set with its typed template; the template's columns are null where unknown."""
     sets = t.data_sets(message_header(datagrams, framing), framing)
     return t.resolve_templates(sets, typed, KEYS)
 
@@ -191,7 +195,7 @@ def records_table(
     on_error: str = "drop_message",
 ) -> DataFrame:
     """One row per data record of the datagrams."""
-    status = set_status(resolved_sets(datagrams, framing, elements, registry), framing)
+    status = set_status(resolved_sets(datagrams, framing, typed_versions(datagrams, framing, elements, registry)), framing)
     records = slice_records(usable_sets(status, framing, on_error), reduced_size)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     return records.withColumn("AgentID", F.col("agent")).withColumn("export_time", F.timestamp_seconds(seconds))
@@ -201,7 +205,7 @@ def unresolved_sets(
     datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
 ) -> DataFrame:
     """Data sets that gave no or not all records, with the reason and their bytes for a replay."""
-    status = set_status(resolved_sets(datagrams, framing, elements, registry), framing)
+    status = set_status(resolved_sets(datagrams, framing, typed_versions(datagrams, framing, elements, registry)), framing)
     return status.where(F.col("reason").isNotNull()).select(*KEYS, "recv_ts", "msg_id", "set_ix", "template_id", "reason", "body")
 
 
@@ -216,7 +220,7 @@ def decode_report(
         F.lit(None).cast("int").alias("set_id"),
         F.when(short, "short header").otherwise("wrong version").alias("reason"),
     )
-    sets = unresolved_sets(datagrams, framing, elements, registry).select(*KEYS, F.col("template_id").alias("set_id"), "reason")
+    sets = unresolved_sets(datagrams, framing, typed_versions(datagrams, framing, elements, registry)).select(*KEYS, F.col("template_id").alias("set_id"), "reason")
     return rejects.unionByName(sets).groupBy(*KEYS, "set_id", "reason").agg(F.count("*").alias("n"))
 
 
@@ -234,20 +238,26 @@ def flow_table(
     Where each column sits in a record is worked out per template, so a data record costs one
     slice and one conversion per column, in generated code. Records of option templates are no flows.
     """
-    status = set_status(resolved_sets(datagrams, framing, elements, registry), framing)
-    sets = usable_sets(status, framing, on_error)
-    seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
-    flows_only = sets.where(~F.exists("fields", lambda f: f["scope"]))
     columns = PROFILES[profile]
 
     def place(wanted):
         own = F.filter("fields", lambda f: f["element_id"].isin(*wanted) & (f["enterprise"] == 0))
-        return F.try_element_at(own, F.lit(-1))
+        last = F.try_element_at(own, F.lit(-1))
+        return F.when(last.isNotNull(), F.struct(*[last[name].alias(name) for name in ("ix", "off", "length", "kind", "width")]))
 
-    placed = flows_only.select(
+    # fixed templates need no field list any more once the places are known
+    typed = typed_versions(datagrams, framing, elements, registry).select(
+        "*",
+        F.exists("fields", lambda f: f["scope"]).alias("optional"),
+        *[place(wanted).alias(f"_{name}") for name, wanted, _, _ in columns],
+    )
+    typed = typed.withColumn("fields", F.when(F.col("variable"), F.col("fields")).otherwise(F.slice("fields", 1, 0)))
+    sets = usable_sets(set_status(resolved_sets(datagrams, framing, typed), framing), framing, on_error)
+    seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
+    placed = sets.where("NOT optional").select(
         "agent", "recv_ts", "msg_id", F.timestamp_seconds(seconds).alias("export_time"), "body", "record_bytes",
         record_plan().alias("plan"),
-        *[place(wanted).alias(f"_{name}") for name, wanted, _, _ in columns],
+        *[f"_{name}" for name, _, _, _ in columns],
     )
     placed = settle(placed, "plan")
     keep = ["agent", "recv_ts", "msg_id", "export_time", "body", "record_bytes", *[f"_{name}" for name, _, _, _ in columns]]
@@ -265,7 +275,7 @@ def flow_table(
     for name, _, type_name, default in columns:
         f, raw = F.col(f"_{name}"), F.col(f"raw_{name}")
         if type_name == "string":
-            value = value_text(raw, f["kind"], f["width"], reduced_size)
+            value = column_text(raw, f["kind"], f["width"], reduced_size)
         else:
             whole = (f["kind"] == "uint") & ((F.length(raw) >= f["width"]) | F.lit(reduced_size == "widen"))
             value = F.when(whole, b.digits(b.cut(raw, 0, f["width"])).try_cast(type_name))

@@ -290,7 +290,7 @@ def type_templates(versions: DataFrame, elements: DataFrame, enterprise: bool =
     kind, width = kind_of(F.col("type_name")), width_of(F.col("type_name"))
     stretchy = (F.col("length") == 65535) & kind.isin("text", "bytes") if enterprise else F.lit(False)
     field = F.struct(
-        "ix", "element_id", "length", "enterprise", "scope", "name", kind.alias("kind"), width.alias("width"),
+        "ix", "element_id", "length", "enterprise", "scope", kind.alias("kind"), width.alias("width"),
         F.coalesce(stretchy, F.lit(False)).alias("variable"),
     )
     grouped = typed.groupBy(*identity).agg(
