@@ -71,20 +71,30 @@ def value_text(raw: Column, kind: Column, width: Column, reduced_size: str = "he
     )
 
 
-def column_text(raw: Column, kind: Column, width: Column, reduced_size: str = "hex") -> Column:
-    """``value_text`` for use many times in one projection.
+def column_texts(fields: list[tuple[Column, Column, Column]], reduced_size: str = "hex") -> tuple[Column, list[Column]]:
+    """``value_text`` of several ``(raw, kind, width)`` of one row, with a small plan.
 
-    The usual cases (whole numbers and IPv4 addresses of full size) stay in generated code; the rest
-    goes through a one-element transform, which keeps the generated method small enough to compile.
+    Returns an array column of the texts that need the whole CASE, and per field an expression over
+    that array (named ``texts``). Whole numbers and IPv4 addresses of full size, the usual cases, are
+    null in the array and stay in generated code.
     """
-    entry = F.array(F.struct(raw.alias("raw"), kind.alias("kind"), width.alias("width")))
-    rest = F.element_at(F.transform(entry, lambda f: value_text(f["raw"], f["kind"], f["width"], reduced_size)), 1)
-    return (
-        F.when(raw.isNull(), F.lit(None).cast("string"))
-        .when((kind == "uint") & (F.length(raw) >= width), b.digits(b.cut(raw, 0, width)))
-        .when((kind == "ip") & (width == 4) & (F.length(raw) == 4), b.ipv4_text(raw))
-        .otherwise(rest)
+    entries, results = [], []
+    for place, (raw, kind, width) in enumerate(fields):
+        number = (kind == "uint") & (F.length(raw) >= width)
+        address = (kind == "ip") & (width == 4) & (F.length(raw) == 4)
+        usual = F.coalesce(raw.isNull() | number | address, F.lit(True))
+        entries.append(F.when(~usual, F.struct(raw.alias("raw"), kind.alias("kind"), width.alias("width"))))
+        results.append(
+            F.when(raw.isNull(), F.lit(None).cast("string"))
+            .when(number, b.digits(b.cut(raw, 0, width)))
+            .when(address, b.ipv4_text(raw))
+            .otherwise(F.get("texts", F.lit(place)))
+        )
+    texts = F.transform(
+        F.array(*entries),
+        lambda f: F.when(f.isNotNull(), value_text(f["raw"], f["kind"], f["width"], reduced_size)),
     )
+    return texts, results
 
 
 def _widened(kind: Column, raw: Column, reduced_size: str) -> Column:

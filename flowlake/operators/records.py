@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions import bytes as b
 from flowlake.functions.columns import settle
-from flowlake.functions.values import column_text, is_literal, value_text
+from flowlake.functions.values import column_texts, is_literal, value_text
 from flowlake.operators import templates as t
 from flowlake.operators.flows import PROFILES
 from flowlake.operators.templates import Framing
@@ -271,11 +271,17 @@ def flow_table(
             F.col("body"), F.coalesce(span["off"], start + f["off"]), F.coalesce(span["len"], f["length"])
         )
     cut = rows.withColumns(raws)
+    words = [name for name, _, type_name, _ in columns if type_name == "string"]
+    texts, values = column_texts(
+        [(F.col(f"raw_{name}"), F.col(f"_{name}.kind"), F.col(f"_{name}.width")) for name in words], reduced_size
+    )
+    cut = cut.withColumn("texts", texts)
+    text_of = dict(zip(words, values, strict=True))
     wide = []
     for name, _, type_name, default in columns:
         f, raw = F.col(f"_{name}"), F.col(f"raw_{name}")
         if type_name == "string":
-            value = column_text(raw, f["kind"], f["width"], reduced_size)
+            value = text_of[name]
         else:
             whole = (f["kind"] == "uint") & ((F.length(raw) >= f["width"]) | F.lit(reduced_size == "widen"))
             value = F.when(whole, b.digits(b.cut(raw, 0, f["width"])).try_cast(type_name))
