@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlake.llm.bpe import op4_bpe
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from flowlake.llm.mixing import op3_mixing
+from flowlake.llm.token_counts import op9_token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_bpe": op4_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
