@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlake.llm.bpe import op4_bpe
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from flowlake.llm.mixing import op3_mixing
+from flowlake.llm.simhash import op8_simhash
 from flowlake.llm.token_counts import op9_token_counts
+from flowlake.llm.url_filters import OP6_SQL, op6_url_filters
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
+    "op6_url_filters": op6_url_filters,
+    "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-LLM_SQL: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+LLM_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_exact_dedup": OP10_SQL}
