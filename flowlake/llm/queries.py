@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlake.llm.bpe import op4_bpe
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from flowlake.llm.mixing import op3_mixing
+from flowlake.llm.order_minhash import op5_order_minhash
 from flowlake.llm.simhash import op8_simhash
 from flowlake.llm.token_counts import op9_token_counts
 from flowlake.llm.toxicity import op7_toxicity
@@ -17,6 +18,7 @@ from flowlake.llm.url_filters import OP6_SQL, op6_url_filters
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
+    "op5_order_minhash": op5_order_minhash,
     "op6_url_filters": op6_url_filters,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
