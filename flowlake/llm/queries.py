@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlake.llm.bpe import op4_bpe
+from flowlake.llm.brown_lm import op1_brown_lm
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from flowlake.llm.mixing import op3_mixing
 from flowlake.llm.order_minhash import op5_order_minhash
@@ -16,6 +17,7 @@ from flowlake.llm.toxicity import op7_toxicity
 from flowlake.llm.url_filters import OP6_SQL, op6_url_filters
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_lm": op1_brown_lm,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
