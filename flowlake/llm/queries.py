@@ -11,6 +11,7 @@ from flowlake.llm.brown_lm import op1_brown_lm
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from flowlake.llm.mixing import op3_mixing
 from flowlake.llm.order_minhash import op5_order_minhash
+from flowlake.llm.page_text import op2_page_text
 from flowlake.llm.simhash import op8_simhash
 from flowlake.llm.token_counts import op9_token_counts
 from flowlake.llm.toxicity import op7_toxicity
@@ -18,6 +19,7 @@ from flowlake.llm.url_filters import OP6_SQL, op6_url_filters
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
+    "op2_page_text": op2_page_text,
     "op3_mixing": op3_mixing,
     "op4_bpe": op4_bpe,
     "op5_order_minhash": op5_order_minhash,
