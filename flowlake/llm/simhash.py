@@ -349,17 +349,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_groups(
-    docs: DataFrame, key: str = "doc_id", words: int = 4, bits: int = 4, distinct: bool = False, all_bits: int | None = None
-) -> DataFrame:
-    """One row per document, without its text: its columns, ``fp``, ``fp2`` and ``component_id``, the least key of its group.
-
-    ``distinct`` counts a shingle once per document; ``all_bits`` bounds the differing bits of both fingerprints together.
-    """
-    marked = written(with_fingerprints(docs, words, distinct))
-    name = F.concat(F.lower(F.lpad(F.hex("fp"), 16, "0")), F.lower(F.lpad(F.hex("fp2"), 16, "0")))
-    prints = written(marked.groupBy("fp", "fp2").agg(F.min(key).alias("least_key")))
-    n = prints.count()
+def linked(prints: DataFrame, n: int, bits: int, all_bits: int | None) -> DataFrame:
+    """Spanning links by name, with partitions and thresholds fitted to ``fp``."""
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((BITS, BITS))
@@ -373,11 +364,30 @@ def near_groups(
     correlation = np.zeros(BITS * BITS)
     for cell, value in sums.collect():  # 4096 numbers
         correlation[cell] = abs(value) / max(1, n)
-    some = prints.sample(min(1.0, SAMPLE / max(1, n)), seed=5).select("fp").limit(2 * SAMPLE).collect()
+    some = prints.sample(min(1.0, SAMPLE / max(1, n)), seed=5).select("fp").collect()  # some SAMPLE numbers
     sample = np.array([r.fp for r in some], np.int64).view(np.uint64)
     groups, thresholds = plan(sample, correlation.reshape(BITS, BITS), n, bits)
+    return links_of(prints.select("fp", "fp2"), groups, thresholds, bits, all_bits, max(PART, int(n * PART_SHARE)))
+
 
-    links = links_of(prints.select("fp", "fp2"), groups, thresholds, bits, all_bits, max(PART, int(n * PART_SHARE)))
+def near_groups(
+    docs: DataFrame, key: str = "doc_id", words: int = 4, bits: int = 4, distinct: bool = False, all_bits: int | None = None
+) -> DataFrame:
+    """One row per document, without its text: its columns, ``fp``, ``fp2`` and ``component_id``, the least key of its group.
+
+    ``distinct`` counts a shingle once per document. With ``all_bits`` two documents are linked if both fingerprints together
+    differ in at most so many bits; one of the two then differs in at most half of them, so each is searched for that many.
+    """
+    marked = written(with_fingerprints(docs, words, distinct))
+    name = F.concat(F.lower(F.lpad(F.hex("fp"), 16, "0")), F.lower(F.lpad(F.hex("fp2"), 16, "0")))
+    prints = written(marked.groupBy("fp", "fp2").agg(F.min(key).alias("least_key")))
+    n = prints.count()
+    if all_bits is None:
+        links = linked(prints, n, bits, None)
+    else:
+        turned = prints.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"))
+        back = [F.concat(F.substring(c, 17, 16), F.substring(c, 1, 16)).alias(c) for c in ("a", "b")]
+        links = linked(prints, n, all_bits // 2, all_bits).unionByName(linked(turned, n, all_bits // 2, all_bits).select(*back))
     roots = components(links)
     nodes = prints.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least_key").alias("component_id"))

@@ -104,7 +104,7 @@ def test_cases(spark):
     by_id = {r.doc_id: r.component_id for r in got.collect()}
     assert got.count() == len(rows)
     assert by_id[5] == by_id[6] == by_id[7] == 5 and by_id[1] == by_id[2] == 1 and by_id[3] == 3 and by_id[None] is None
-    left = sh.near_dedup(docs, words=2, distinct=True, bits=8, all_bits=15)
+    left = sh.near_dedup(docs, words=2, distinct=True, all_bits=17)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 3, 5, 8] and left.count() == 5
     assert sh.near_groups(docs.drop("fp").limit(0)).count() == 0 and sh.near_dedup(docs.limit(0)).count() == 0
