@@ -10,8 +10,8 @@ import json
 import os
 import pathlib
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
 
@@ -27,7 +27,7 @@ from flowlake.operators import records as r  # noqa: E402
 from flowlake.operators import sflow as sf  # noqa: E402
 from flowlake.operators import templates as t  # noqa: E402
 from flowlake.plans import fixtures as fx  # noqa: E402
-from flowlake.session import local_session  # noqa: E402
+from flowlake.session import local_session, shared_folder  # noqa: E402
 
 
 def drain(frame: DataFrame) -> None:
@@ -38,7 +38,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus), memory=os.environ.get("BENCH_MEMORY", "12g"))
-    folder = tempfile.mkdtemp(prefix="flowlake-bench-")
+    folder = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}"
 
     staged = {
         "json": fx.line_json,

@@ -79,7 +79,8 @@ def assemble_messages(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _json_value(field: Column) -> Column:
-    return F.when(field["num"], F.try_parse_json(field["V"])).otherwise(field["V"].cast("variant"))
+    # NaN and Infinity are no JSON numbers; they stay as text
+    return F.coalesce(F.when(field["num"], F.try_parse_json(field["V"])), field["V"].cast("variant"))
 
 
 def _enterprise(field: Column) -> Column:

@@ -29,5 +29,6 @@ def netflow9_table(datagrams: DataFrame, elements: DataFrame, registry: DataFram
     return r.records_table(datagrams, NETFLOW9, elements, registry, **options)
 
 
-def netflow9_report(datagrams: DataFrame, elements: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    return r.decode_report(datagrams, NETFLOW9, elements, registry)
+def netflow9_report(datagrams: DataFrame, elements: DataFrame, registry: DataFrame | None = None, **options) -> DataFrame:
+    """Counts of what gave no records; options as for :func:`flowlake.operators.records.decode_report`."""
+    return r.decode_report(datagrams, NETFLOW9, elements, registry, **options)

@@ -38,9 +38,10 @@ def _byte(header: str, offset: str) -> str:
     return f"CAST(conv(hex(substring({header}, {offset} + 1, 1)), 16, 10) AS INT)"
 
 
-def packet_error(header: str, protocol: str, at: str, kind: str) -> str:
-    """SQL text: null for a readable packet, else the reason."""
-    rest = f"(length({header}) - {at} - IF({kind} = 4, 20, 40))"
+def packet_error(header: str, protocol: str, at: str, kind: str, legacy: bool = False) -> str:
+    """SQL text: null for a readable packet, else the reason. IPv4 options count, but not with ``legacy``."""
+    four = "20" if legacy else f"greatest(({_byte(header, at)} & 15) * 4, 20)"
+    rest = f"(length({header}) - {at} - IF({kind} = 4, {four}, 40))"
     transport = (
         f"CASE {_byte(header, f'{at} + IF({kind} = 4, 9, 6)')} "
         f"WHEN {TCP} THEN IF({rest} < 20, 'short TCP header', NULL) "
@@ -136,7 +137,7 @@ def packet_layers(packets: DataFrame, legacy: bool = False, checked: bool = Fals
     names = packets.columns
     offset, kind = network_place("header", "protocol")
     placed = packets.selectExpr("*", f"{offset} AS l3_at", f"{kind} AS l3_kind")
-    error = "CAST(NULL AS STRING)" if checked else packet_error("header", "protocol", "l3_at", "l3_kind")
+    error = "CAST(NULL AS STRING)" if checked else packet_error("header", "protocol", "l3_at", "l3_kind", legacy)
     four, six = F.col("l3_kind") == 4, F.col("l3_kind") == 6
     words = F.lit(20) if legacy else F.greatest(b.u8(header, F.col("l3_at")).bitwiseAND(F.lit(15)) * 4, F.lit(20))
     deeper = placed.select(

@@ -95,13 +95,18 @@ def _variable_starts() -> str:
             named_struct('pos', r.pos, 'done', false, 'bad', false, 'records', concat(a.records, array(r.spans))))), 1) END)"""
 
 
-def set_status(resolved: DataFrame, framing: Framing) -> DataFrame:
+def set_status(resolved: DataFrame, framing: Framing, on_unknown: str = "drop_set") -> DataFrame:
     """Adds ``reason`` (why a set gives no records, or ends early), ``fatal``, and the record plan.
 
+    A template with an element that the dictionary lacks gives no records (``on_unknown="drop_set"``), or that element is read
+    as bytes of its length (``"hex"``).
     Up to four bytes after the last record are padding. ``starts`` counts the records of fixed
     size; ``spans`` lists the field places of records of variable size.
     """
-    usable = F.col("fields").isNotNull() & F.col("unknown_element").isNull() & (F.col("record_bytes") > 0)
+    if on_unknown not in ("drop_set", "hex"):
+        raise ValueError(f"on_unknown must be 'drop_set' or 'hex', not {on_unknown!r}")
+    unknown = F.col("unknown_element").isNotNull() & F.lit(on_unknown == "drop_set")
+    usable = F.col("fields").isNotNull() & ~unknown & (F.col("record_bytes") > 0)
     fixed = usable & ~F.col("variable")
     planned = resolved.select(
         "*",
@@ -117,7 +122,7 @@ def set_status(resolved: DataFrame, framing: Framing) -> DataFrame:
     reason = (
         F.when(F.col("message_error").isNotNull(), F.col("message_error"))
         .when(F.col("valid_from").isNull(), "unknown template")
-        .when(F.col("unknown_element").isNotNull(), "unknown element")
+        .when(unknown, "unknown element")
         .when(F.coalesce(F.col("record_bytes"), F.lit(0)) == 0, "empty template")
         .when((fixed & (tail > 4)) | F.coalesce(F.col("walked.bad"), F.lit(False)), "set does not end on a record")
     )
@@ -193,26 +198,50 @@ def records_table(
     registry: DataFrame | None = None,
     reduced_size: str = "hex",
     on_error: str = "drop_message",
+    on_unknown: str = "drop_set",
 ) -> DataFrame:
     """One row per data record of the datagrams."""
-    status = set_status(resolved_sets(datagrams, framing, typed_versions(datagrams, framing, elements, registry)), framing)
+    typed = typed_versions(datagrams, framing, elements, registry)
+    status = set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown)
     records = slice_records(usable_sets(status, framing, on_error), reduced_size)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     return records.withColumn("AgentID", F.col("agent")).withColumn("export_time", F.timestamp_seconds(seconds))
 
 
 def unresolved_sets(
-    datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
+    datagrams: DataFrame,
+    framing: Framing,
+    elements: DataFrame,
+    registry: DataFrame | None = None,
+    on_error: str = "keep_sets",
+    on_unknown: str = "drop_set",
 ) -> DataFrame:
-    """Data sets that gave no or not all records, with the reason and their bytes for a replay."""
-    status = set_status(resolved_sets(datagrams, framing, typed_versions(datagrams, framing, elements, registry)), framing)
+    """Data sets that gave no or not all records, with the reason and their bytes for a replay.
+
+    With ``on_error="drop_message"`` also the good sets that fall with a broken one of their message, as "message dropped".
+    """
+    typed = typed_versions(datagrams, framing, elements, registry)
+    status = set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown)
+    if on_error == "drop_message":
+        message = Window.partitionBy(*KEYS, "recv_ts", "msg_id")
+        status = status.withColumn("first_bad", F.min(F.when(F.col("fatal"), F.col("set_ix"))).over(message))
+        fallen = F.col("first_bad").isNotNull() & (F.lit(framing.proto == "ipfix") | (F.col("set_ix") > F.col("first_bad")))
+        status = status.withColumn("reason", F.coalesce("reason", F.when(fallen, "message dropped")))
     return status.where(F.col("reason").isNotNull()).select(*KEYS, "recv_ts", "msg_id", "set_ix", "template_id", "reason", "body")
 
 
 def decode_report(
-    datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
+    datagrams: DataFrame,
+    framing: Framing,
+    elements: DataFrame,
+    registry: DataFrame | None = None,
+    on_error: str = "drop_message",
+    on_unknown: str = "drop_set",
 ) -> DataFrame:
-    """Counts of rejected messages and undecoded sets by agent, set id and reason."""
+    """Counts of rejected messages and undecoded sets by agent, set id and reason.
+
+    A message whose framing or templates are broken counts once, without a set id, beside the data sets that fall with it.
+    """
     payload = F.col("payload")
     short = F.length(payload) < framing.header_bytes
     rejects = datagrams.where(short | (b.u16(payload, 0) != framing.version)).select(
@@ -220,8 +249,12 @@ def decode_report(
         F.lit(None).cast("int").alias("set_id"),
         F.when(short, "short header").otherwise("wrong version").alias("reason"),
     )
-    sets = unresolved_sets(datagrams, framing, elements, registry).select(*KEYS, F.col("template_id").alias("set_id"), "reason")
-    return rejects.unionByName(sets).groupBy(*KEYS, "set_id", "reason").agg(F.count("*").alias("n"))
+    broken = t.message_errors(datagrams, framing).select(
+        *KEYS, F.lit(None).cast("int").alias("set_id"), F.col("message_error").alias("reason")
+    )
+    sets = unresolved_sets(datagrams, framing, elements, registry, on_error, on_unknown)
+    sets = sets.select(*KEYS, F.col("template_id").alias("set_id"), "reason")
+    return rejects.unionByName(broken).unionByName(sets).groupBy(*KEYS, "set_id", "reason").agg(F.count("*").alias("n"))
 
 
 def flow_table(
@@ -232,6 +265,7 @@ def flow_table(
     reduced_size: str = "hex",
     on_error: str = "drop_message",
     profile: str = "full",
+    on_unknown: str = "drop_set",
 ) -> DataFrame:
     """Data records straight to wide flow rows; only the wanted fields are sliced.
 
@@ -252,7 +286,7 @@ def flow_table(
         *[place(wanted).alias(f"_{name}") for name, wanted, _, _ in columns],
     )
     typed = typed.withColumn("fields", F.when(F.col("variable"), F.col("fields")).otherwise(F.slice("fields", 1, 0)))
-    sets = usable_sets(set_status(resolved_sets(datagrams, framing, typed), framing), framing, on_error)
+    sets = usable_sets(set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown), framing, on_error)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     placed = sets.where("NOT optional").select(
         "agent", "recv_ts", "msg_id", F.timestamp_seconds(seconds).alias("export_time"), "body", "record_bytes",

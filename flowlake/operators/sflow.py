@@ -96,7 +96,8 @@ def _walk(count: str, start: str, end: str, sample: bool) -> str:
     item = f"array(named_struct('format', {kind}, 'off', a.pos + 8, 'len', CAST({size} AS INT)))"
     private = f"WHEN {kind} >= 4096 THEN {state(error=chr(39) + 'not a standard sample' + chr(39))}" if sample else ""
     zero = f"named_struct('pos', {start}, 'error', CAST(NULL AS STRING), 'items', CAST(array() AS array<{_ITEM}>))"
-    return f"""aggregate(sequence(1, CAST(least({count}, ({end} - {start}) div 8 + 1) AS INT)), {zero}, (a, i) -> CASE
+    steps = f"CAST(greatest(least({count}, ({end} - {start}) div 8 + 1), 1) AS INT)"
+    return f"""aggregate(IF({count} > 0, sequence(1, {steps}), CAST(array() AS array<int>)), {zero}, (a, i) -> CASE
         WHEN a.error IS NOT NULL THEN a
         WHEN {end} - a.pos < 8 THEN {state(error=chr(39) + 'cut short' + chr(39))}
         {private}

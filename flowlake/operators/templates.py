@@ -201,27 +201,37 @@ def template_records(datagrams: DataFrame, framing: Framing) -> DataFrame:
     )
 
 
-def data_sets(datagrams: DataFrame, framing: Framing) -> DataFrame:
-    """One row per data set: ``set_ix, template_id, body, message_error``.
-
-    ``message_error`` is set where framing or a template of the message is broken.
-    """
+def _checked_messages(datagrams: DataFrame, framing: Framing) -> tuple[DataFrame, list[str]]:
+    """Messages with their ``sets`` and ``message_error``, and the columns that identify and describe a message."""
     rows = walked_messages(datagrams, framing)
     keep = _keep(rows)
-    header = [c for c in rows.columns if c not in (*keep, "payload", "walk", "proto")]
+    names = [*keep, *(c for c in rows.columns if c not in (*keep, "payload", "walk", "proto"))]
     announces = f"s -> s.set_id IN ({framing.template_set}, {framing.option_set})"
     errors = f"transform(array({_halves('s')}), h -> {_template_walk(framing, 's.set_id', 's.len', 'h')}.error)"
     broken = f"filter(flatten(transform(filter(walk.sets, {announces}), s -> {errors})), e -> e IS NOT NULL)"
     checked = rows.selectExpr(
-        *keep, *header, "payload", "walk.sets AS sets", f"coalesce(walk.error, try_element_at({broken}, 1)) AS message_error"
+        *names, "payload", "walk.sets AS sets", f"coalesce(walk.error, try_element_at({broken}, 1)) AS message_error"
     )
-    checked = settle(checked, "message_error")
+    return settle(checked, "message_error"), names
+
+
+def message_errors(datagrams: DataFrame, framing: Framing) -> DataFrame:
+    """Messages whose framing or templates are broken, with the reason, whether or not they hold data sets."""
+    checked, names = _checked_messages(datagrams, framing)
+    return checked.where("message_error IS NOT NULL").select(*names, "message_error")
+
+
+def data_sets(datagrams: DataFrame, framing: Framing) -> DataFrame:
+    """One row per data set: ``set_ix, template_id, body, message_error``.
+
+    ``message_error`` is set where framing or a template of the message is broken.
+    """
+    checked, names = _checked_messages(datagrams, framing)
     return (
-        checked.selectExpr(*keep, *header, "payload", "message_error", "posexplode(sets) AS (set_ix, s)")
+        checked.selectExpr(*names, "payload", "message_error", "posexplode(sets) AS (set_ix, s)")
         .where("s.set_id > 255")
         .selectExpr(
-            *keep, *header, "set_ix", "s.set_id AS template_id",
-            "substring(payload, s.off + 1, s.len) AS body", "message_error",
+            *names, "set_ix", "s.set_id AS template_id", "substring(payload, s.off + 1, s.len) AS body", "message_error"
         )
     )
 
@@ -312,9 +322,8 @@ def resolve_templates(sets: DataFrame, versions: DataFrame, keys: tuple[str, ...
     """Every data set with the template that was valid when it came in (null if none was).
 
     An equi join on (agent, id) whose residual picks the one version covering the set's position.
-    Versions are change points, far fewer than sets: where their size is small the join is
-    broadcast and the sets do not move at all; where it is not, a hot agent's sets are split by
-    the adaptive skew join. Needs no window over the sets.
+    Versions are change points, far fewer than sets. Adaptive execution may broadcast them once their
+    size is known; otherwise it splits a hot agent's sets. Needs no window over the sets.
     """
     at = F.struct(*[F.col(f"s.{c}") for c in ORDER])
     condition = (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -22,7 +21,7 @@ from flowlake.operators import records as r
 from flowlake.operators import sflow as sf
 from flowlake.operators import templates as t
 from flowlake.plans import fixtures as fx
-from flowlake.session import configure
+from flowlake.session import configure, shared_folder
 from flowlake.sources import sinks
 from flowlake.sources.datagrams import DATAGRAM_SCHEMA, read_datagrams, route_by_version
 from flowlake.sources.messages import read_messages
@@ -46,9 +45,7 @@ def query(function):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for written tables, in the shared folder the cluster names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/flowlake-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="flowlake-")
+    return f"{shared_folder(spark)}/flowlake-{uuid.uuid4().hex}"
 
 
 # ------------------------------------------------------------------ JSON messages and flows
@@ -253,11 +250,8 @@ def save_load_templates(spark, sf_dir):
 
 
 def _family_counts(spark, folder):
-    rows = [
-        spark.read.schema(DATAGRAM_SCHEMA).parquet(f"{folder}/{family}").select(F.lit(family).alias("family"), "agent")
-        for family in ("ipv4", "ipv6")
-    ]
-    return rows[0].unionByName(rows[1]).groupBy("family", "agent").agg(F.count("*").alias("n"))
+    rows = spark.read.schema(f"{DATAGRAM_SCHEMA}, family string").parquet(folder)
+    return rows.groupBy("family", "agent").agg(F.count("*").alias("n"))
 
 
 def _sflow_by_address(spark, sf_dir):
@@ -268,7 +262,7 @@ def _sflow_by_address(spark, sf_dir):
 @query
 def tee_raw(spark, sf_dir):
     folder = scratch(spark)
-    sinks.tee_raw(_sflow_by_address(spark, sf_dir), {f: f"{folder}/{f}" for f in ("ipv4", "ipv6")})
+    sinks.tee_raw(_sflow_by_address(spark, sf_dir), folder)
     return _family_counts(spark, folder)
 
 
@@ -677,15 +671,17 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_rates(spark, sf_dir):
-    """Complete mode: the last batch holds every window, closed or not."""
+    """Update mode: a batch writes the windows it changed, and the largest count of a window is its last."""
     folder = scratch(spark)
     log = _staged_stream(spark, fx.datagram_log(spark, sf_dir).select("ts", "partition"), folder + "/in", 4)
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(folder + "/rates")
+        batch.write.mode("overwrite").parquet(f"{folder}/rates/batch={epoch}")
 
-    jobs.start(jobs.stream_rates(log), folder + "/checkpoint", None, sink=save, mode="complete").awaitTermination()
-    return spark.read.parquet(folder + "/rates")
+    rates = jobs.stream_rates(log)
+    jobs.start(rates, folder + "/checkpoint", None, sink=save, mode="update").awaitTermination()
+    written = spark.read.schema(rates.schema).parquet(folder + "/rates")
+    return jobs.latest_rates(written)
 
 
 @query
@@ -720,6 +716,5 @@ QUERIES["stream_resolve_templates"] = QUERIES.pop("stream_resolve_template_sets"
 def stream_tee_raw(spark, sf_dir):
     folder = scratch(spark)
     datagrams = _staged_stream(spark, _sflow_by_address(spark, sf_dir), folder + "/in", 4)
-    paths = {f: f"{folder}/{f}" for f in ("ipv4", "ipv6")}
-    jobs.stream_tee_raw(datagrams, paths, folder + "/checkpoint", trigger=None).awaitTermination()
-    return _family_counts(spark, folder)
+    jobs.stream_tee_raw(datagrams, folder + "/raw", folder + "/checkpoint", trigger=None).awaitTermination()
+    return _family_counts(spark, folder + "/raw")

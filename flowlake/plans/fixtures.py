@@ -23,10 +23,8 @@ LARGE_TABLES = ("lineitem", "orders", "events")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its zone-less times are UTC instants."""
     frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    if name in LARGE_TABLES and len(frame.inputFiles()) < slots:
-        # a test table is one small file: spread its rows, packing is heavy on the processor
-        frame = frame.repartition(slots)
+    if name in LARGE_TABLES:  # packing rows into datagrams is heavy on the processor, so spread them
+        frame = frame.repartition(spark.sparkContext.defaultParallelism)
     times = [c for c, kind in frame.dtypes if kind == "timestamp_ntz"]
     return frame.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else frame
 

@@ -20,6 +20,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables: ``spark.checkpoint.dir``, else one below the warehouse.
+
+    Executors on other machines do not see a machine's own folder, so without a shared one this raises.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    below = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local[") and (below.startswith("file:") or ":" not in below):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{below}/_scratch"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (

@@ -28,8 +28,10 @@ def load_elements(spark: SparkSession, path: str, mode: str = "replace") -> Data
     """
     if mode not in ("replace", "merge"):
         raise ValueError(f"mode must be 'replace' or 'merge', not {mode!r}")
-    text = spark.read.text(path, wholetext=True).head()[0]
-    rows = _parse(text, path)
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").collect()
+    rows = [row for file in sorted(files, key=lambda f: f.file_path) for row in _parse(file.value, file.file_path)]
+    if not rows:
+        raise ValueError(f"no elements in {path}")
     if mode == "merge":
         merged = {row[:2]: row for row in built_in_rows()}
         merged.update({row[:2]: row for row in rows})

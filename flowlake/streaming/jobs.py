@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlake.operators import flows as fl
@@ -38,12 +39,17 @@ def stream_rates(messages: DataFrame, window: str = "10 seconds", lateness: str
     return message_rate(messages.withWatermark(time, lateness), window, time, partition)
 
 
+def latest_rates(rates: DataFrame, partition: str = "partition") -> DataFrame:
+    """The last state of each window of rates that were written in update mode."""
+    return rates.groupBy("window_start", partition).agg(F.max("n").alias("n"), F.max("rate").alias("rate"))
+
+
 def stream_match_element(lines: DataFrame, element_id: int = 12, value: str = "", proto: str = "ipfix") -> DataFrame:
     """Records with a matching field, once per match."""
     return fl.match_element(m.explode_records(m.parse_messages(lines, proto)), element_id, value, multiplicity=True)
 
 
-def stream_tee_raw(datagrams: DataFrame, paths: dict[str, str], checkpoint: str, trigger: str | None = "20 seconds") -> StreamingQuery:
+def stream_tee_raw(datagrams: DataFrame, path: str, checkpoint: str, trigger: str | None = "20 seconds") -> StreamingQuery:
     """Copy every raw datagram to the folder of its address family.
 
     A batch goes to a folder of its own number, overwritten when the batch is repeated, so that a
@@ -51,10 +57,6 @@ def stream_tee_raw(datagrams: DataFrame, paths: dict[str, str], checkpoint: str,
     """
 
     def copy(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        try:
-            sinks.tee_raw(batch, {f: f"{p}/batch={epoch}" for f, p in paths.items()}, mode="overwrite")
-        finally:
-            batch.unpersist()
+        sinks.tee_raw(batch, f"{path}/batch={epoch}", mode="overwrite")
 
     return start(datagrams, checkpoint, trigger, sink=copy)
