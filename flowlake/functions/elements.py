@@ -2,7 +2,8 @@
 
 ``BUILT_IN`` holds the elements flow exporters use most. The complete registry, or an
 exporter's own elements, come from a file through
-:func:`flowlake.sources.elements.load_elements`.
+:func:`flowlake.sources.elements.load_elements`; decoding reads what a dictionary lacks as
+bytes with ``on_unknown="hex"``.
 """
 
 from __future__ import annotations
@@ -86,9 +87,18 @@ BUILT_IN = """
 89 forwardingStatus unsigned32
 90 mplsVpnRouteDistinguisher octetArray
 91 mplsTopLabelPrefixLength unsigned8
+92 srcTrafficIndex unsigned32
+93 dstTrafficIndex unsigned32
 94 applicationDescription string
 95 applicationId octetArray
 96 applicationName string
+98 postIpDiffServCodePoint unsigned8
+99 multicastReplicationFactor unsigned32
+100 className string
+101 classificationEngineId unsigned8
+102 layer2packetSectionOffset unsigned16
+103 layer2packetSectionSize unsigned16
+104 layer2packetSectionData octetArray
 128 bgpNextAdjacentAsNumber unsigned32
 129 bgpPrevAdjacentAsNumber unsigned32
 130 exporterIPv4Address ipv4Address
@@ -101,11 +111,14 @@ BUILT_IN = """
 137 commonPropertiesId unsigned64
 138 observationPointId unsigned64
 139 icmpTypeCodeIPv6 unsigned16
+140 mplsTopLabelIPv6Address ipv6Address
 141 lineCardId unsigned32
 142 portId unsigned32
 143 meteringProcessId unsigned32
 144 exportingProcessId unsigned32
 145 templateId unsigned16
+146 wlanChannelId unsigned8
+147 wlanSSID string
 148 flowId unsigned64
 149 observationDomainId unsigned32
 150 flowStartSeconds dateTimeSeconds
@@ -127,6 +140,13 @@ BUILT_IN = """
 166 notSentFlowTotalCount unsigned64
 167 notSentPacketTotalCount unsigned64
 168 notSentOctetTotalCount unsigned64
+169 destinationIPv6Prefix ipv6Address
+170 sourceIPv6Prefix ipv6Address
+171 postOctetTotalCount unsigned64
+172 postPacketTotalCount unsigned64
+173 flowKeyIndicator unsigned64
+174 postMCastPacketTotalCount unsigned64
+175 postMCastOctetTotalCount unsigned64
 176 icmpTypeIPv4 unsigned8
 177 icmpCodeIPv4 unsigned8
 178 icmpTypeIPv6 unsigned8
@@ -138,13 +158,38 @@ BUILT_IN = """
 184 tcpSequenceNumber unsigned32
 185 tcpAcknowledgementNumber unsigned32
 186 tcpWindowSize unsigned16
+187 tcpUrgentPointer unsigned16
+188 tcpHeaderLength unsigned8
 189 ipHeaderLength unsigned8
 190 totalLengthIPv4 unsigned16
+191 payloadLengthIPv6 unsigned16
 192 ipTTL unsigned8
+193 nextHeaderIPv6 unsigned8
+194 mplsPayloadLength unsigned32
 195 ipDiffServCodePoint unsigned8
+196 ipPrecedence unsigned8
+197 fragmentFlags unsigned8
+198 octetDeltaSumOfSquares unsigned64
+199 octetTotalSumOfSquares unsigned64
+200 mplsTopLabelTTL unsigned8
+201 mplsLabelStackLength unsigned32
+202 mplsLabelStackDepth unsigned32
+203 mplsTopLabelExp unsigned8
+204 ipPayloadLength unsigned32
+205 udpMessageLength unsigned16
+206 isMulticast unsigned8
+207 ipv4IHL unsigned8
+208 ipv4Options unsigned32
+209 tcpOptions unsigned64
 210 paddingOctets octetArray
+211 collectorIPv4Address ipv4Address
+212 collectorIPv6Address ipv6Address
+213 exportInterface unsigned32
 214 exportProtocolVersion unsigned8
 215 exportTransportProtocol unsigned8
+216 collectorTransportPort unsigned16
+217 exporterTransportPort unsigned16
+224 ipTotalLength unsigned64
 225 postNATSourceIPv4Address ipv4Address
 226 postNATDestinationIPv4Address ipv4Address
 227 postNAPTSourceTransportPort unsigned16
@@ -170,5 +215,8 @@ BUILT_IN = """
 
 def built_in_rows() -> list[tuple[int, int, str, str]]:
     """``(enterprise, element_id, name, type)`` rows of the built-in dictionary."""
-    rows = (line.split() for line in BUILT_IN.strip().splitlines())
-    return [(0, int(element_id), name, type_name) for element_id, name, type_name in rows]
+    rows = [(int(element_id), name, type_name) for element_id, name, type_name in map(str.split, BUILT_IN.strip().splitlines())]
+    # 71 to 79 are the label stack entries below the top one; 218 to 223 count packets by TCP flag
+    rows += [(69 + n, f"mplsLabelStackSection{n}", "octetArray") for n in range(2, 11)]
+    rows += [(218 + k, f"tcp{flag}TotalCount", "unsigned64") for k, flag in enumerate(("Syn", "Fin", "Rst", "Psh", "Ack", "Urg"))]
+    return [(0, *row) for row in sorted(rows)]
