@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.session import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space between words.
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -19,21 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="flowlake-llm-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/flowlake-llm-{uuid.uuid4().hex}"
-
-
-def written(frame: DataFrame, *order: str) -> DataFrame:
+def written(frame: DataFrame) -> DataFrame:
     """The frame as a table in the shared folder: it is computed once, and a lost executor takes nothing with it."""
     spark = frame.sparkSession
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/flowlake-llm-{uuid.uuid4().hex}"
     frame.write.parquet(folder)
     return spark.read.schema(frame.schema).parquet(folder)
 
