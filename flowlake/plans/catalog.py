@@ -414,17 +414,31 @@ def ipfix_records_keep_sets(spark, sf_dir):
     return _record_fields(ix.ipfix_table(_ipfix(spark, sf_dir), fx.element_dictionary(spark), on_error="keep_sets"))
 
 
-@query
-def ipfix_messages(spark, sf_dir):
-    """Decoded, assembled and encoded as JSON messages, parsed again."""
-    records = ix.ipfix_table(_ipfix(spark, sf_dir), fx.element_dictionary(spark))
+def _through_json(records: DataFrame, proto: str) -> DataFrame:
+    """Assembled and encoded as JSON messages, parsed again, and counted by field and value."""
     ordered = records.withColumn("record_ix", F.col("set_ix") * 65536 + F.col("record_ix"))
     lines = m.encode_message(m.assemble_messages(ordered, ["AgentID", "Header", "msg_id"]))
-    fields = m.explode_fields(m.explode_records(m.parse_messages(lines)))
+    fields = m.explode_fields(m.explode_records(m.parse_messages(lines, proto)))
     keys = [F.col("AgentID").alias("agent"), "msg_id", "element_id", "value", "enterprise"]
     return fields.select(*keys).groupBy("agent", "msg_id", "element_id", "value", "enterprise").agg(F.count("*").alias("n"))
 
 
+@query
+def ipfix_messages(spark, sf_dir):
+    return _through_json(ix.ipfix_table(_ipfix(spark, sf_dir), fx.element_dictionary(spark)), "ipfix")
+
+
+@query
+def netflow9_messages(spark, sf_dir):
+    return _through_json(n9.netflow9_table(fx.netflow9_datagrams(spark, sf_dir), fx.element_dictionary(spark)), "netflowv9")
+
+
+@query
+def netflow9_flow_table(spark, sf_dir):
+    datagrams, elements = fx.netflow9_datagrams(spark, sf_dir), fx.element_dictionary(spark)
+    return r.flow_table(datagrams, t.NETFLOW9, elements, reduced_size="widen").drop("recv_ts", "AgentID")
+
+
 def _ipfix_flows(spark, sf_dir, reduced_size):
     return r.flow_table(
         _ipfix(spark, sf_dir), t.IPFIX, fx.element_dictionary(spark), reduced_size=reduced_size

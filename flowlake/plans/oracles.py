@@ -304,6 +304,10 @@ def statements() -> dict[str, str]:
         "CASE WHEN wide THEN octets + leg ELSE 0 END", "octets + leg"
     )
     sql["netflow9_records"] = _record_fields(_V9_FIELDS, _V9_OPTION)
+    sql["netflow9_messages"] = f"SELECT agent, msg_id, element_id, value, enterprise, count(*) AS n FROM ({sql['netflow9_records']}) GROUP BY ALL"
+    # the IPv6 source comes after the IPv4 one and counts
+    six = _six("2001:db8::", "(64512 + o_custkey % 1000 + leg)")
+    sql["netflow9_flow_table"] = sql["ipfix_flow_table_widened"].replace('CASE WHEN leg = 1 THEN dst4 ELSE src4 END AS "sourceIPAddress"', f'{six} AS "sourceIPAddress"')
     sql["netflow9_header"] = f"""WITH {TPL} SELECT agent, o_orderkey AS msg_id, 9 AS "Version", 1 + o_orderkey % 3 AS "Count", 357280 AS "SysUpTime",
   epoch(o_orderdate)::BIGINT AS "UNIXSecs", o_orderkey AS "SeqNum", o_custkey % 16 AS "SrcID" FROM msgs"""
     sql["unresolved_report"] = sql["netflow9_report"] = f"WITH {TPL} SELECT agent, tid AS set_id, 'unknown template' AS reason, count(*) AS n FROM known WHERE tpl_msg IS NULL GROUP BY ALL"
