@@ -17,7 +17,15 @@ from flowlake.operators import templates as t
 from flowlake.operators.flows import PROFILES
 from flowlake.operators.templates import Framing
 
-KEYS = ("agent",)
+
+def keys_of(frame: DataFrame) -> tuple[str, ...]:
+    """What a template id belongs to: the agent, and the observation domain where rows carry one."""
+    return ("agent", "domain") if "domain" in frame.columns else ("agent",)
+
+
+def with_domain(datagrams: DataFrame, framing: Framing) -> DataFrame:
+    """Adds ``domain`` (IPFIX observation domain, v9 source id), so that domains behind one agent have templates of their own."""
+    return datagrams.withColumn("domain", b.u32(F.col("payload"), 12 if framing.proto == "ipfix" else 16))
 
 
 def header_columns(framing: Framing) -> list[str]:
@@ -52,7 +60,7 @@ def message_header(datagrams: DataFrame, framing: Framing) -> DataFrame:
 
 def announcements(datagrams: DataFrame, framing: Framing, registry: DataFrame | None = None) -> DataFrame:
     """Templates seen in the datagrams, plus those of an earlier registry."""
-    columns = [*KEYS, "template_id", *t.ORDER, "rec_ix", "fields"]
+    columns = [*keys_of(datagrams), "template_id", *t.ORDER, "rec_ix", "fields"]
     seen = t.template_records(datagrams, framing).select(*columns)
     return seen if registry is None else seen.unionByName(registry.select(*columns))
 
@@ -61,14 +69,15 @@ def typed_versions(
     datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
 ) -> DataFrame:
     """Change points of all templates, ready to slice with."""
-    versions = t.template_versions(announcements(datagrams, framing, registry), KEYS)
-    return t.type_templates(versions, elements, framing.enterprise, KEYS)
+    keys = keys_of(datagrams)
+    versions = t.template_versions(announcements(datagrams, framing, registry), keys)
+    return t.type_templates(versions, elements, framing.enterprise, keys)
 
 
 def resolved_sets(datagrams: DataFrame, framing: Framing, typed: DataFrame) -> DataFrame:
     """Every data set with its typed template; the template's columns are null where unknown."""
     sets = t.data_sets(message_header(datagrams, framing), framing)
-    return t.resolve_templates(sets, typed, KEYS)
+    return t.resolve_templates(sets, typed, keys_of(datagrams))
 
 
 _SPAN = "struct<off:int,len:int>"
@@ -146,7 +155,7 @@ def usable_sets(status: DataFrame, framing: Framing, on_error: str = "drop_messa
     good = status.where(~skipped) if on_error == "keep_sets" else None
     if good is not None:
         return good.where(~F.col("fatal")) if framing.proto == "ipfix" else good
-    message = Window.partitionBy(*KEYS, "recv_ts", "msg_id")
+    message = Window.partitionBy(*keys_of(status), "recv_ts", "msg_id")
     first_bad = F.min(F.when(F.col("fatal") & F.col("message_error").isNull(), F.col("set_ix"))).over(message)
     if framing.proto == "ipfix":
         kept = status.where(F.col("message_error").isNull()).withColumn("first_bad", first_bad).where("first_bad IS NULL")
@@ -163,7 +172,7 @@ def record_plan() -> Column:
 
 def slice_records(sets: DataFrame, reduced_size: str = "hex") -> DataFrame:
     """One row per record with its ``fields``: ``I`` id, ``V`` text, ``E`` enterprise, ``num``, ``scope``."""
-    keep = [c for c in (*KEYS, "recv_ts", "msg_id", "Header", "set_ix", "template_id") if c in sets.columns]
+    keep = [c for c in (*keys_of(sets), "recv_ts", "msg_id", "Header", "set_ix", "template_id") if c in sets.columns]
     planned = settle(
         sets.select(*keep, "body", "record_bytes", F.col("fields").alias("template"), record_plan().alias("plan")), "plan"
     )
@@ -223,11 +232,13 @@ def unresolved_sets(
     typed = typed_versions(datagrams, framing, elements, registry)
     status = set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown)
     if on_error == "drop_message":
-        message = Window.partitionBy(*KEYS, "recv_ts", "msg_id")
+        message = Window.partitionBy(*keys_of(status), "recv_ts", "msg_id")
         status = status.withColumn("first_bad", F.min(F.when(F.col("fatal"), F.col("set_ix"))).over(message))
         fallen = F.col("first_bad").isNotNull() & (F.lit(framing.proto == "ipfix") | (F.col("set_ix") > F.col("first_bad")))
         status = status.withColumn("reason", F.coalesce("reason", F.when(fallen, "message dropped")))
-    return status.where(F.col("reason").isNotNull()).select(*KEYS, "recv_ts", "msg_id", "set_ix", "template_id", "reason", "body")
+    return status.where(F.col("reason").isNotNull()).select(
+        *keys_of(status), "recv_ts", "msg_id", "set_ix", "template_id", "reason", "body"
+    )
 
 
 def decode_report(
@@ -242,19 +253,19 @@ def decode_report(
 
     A message whose framing or templates are broken counts once, without a set id, beside the data sets that fall with it.
     """
-    payload = F.col("payload")
+    payload, keys = F.col("payload"), keys_of(datagrams)
     short = F.length(payload) < framing.header_bytes
     rejects = datagrams.where(short | (b.u16(payload, 0) != framing.version)).select(
-        *KEYS,
+        *keys,
         F.lit(None).cast("int").alias("set_id"),
         F.when(short, "short header").otherwise("wrong version").alias("reason"),
     )
     broken = t.message_errors(datagrams, framing).select(
-        *KEYS, F.lit(None).cast("int").alias("set_id"), F.col("message_error").alias("reason")
+        *keys, F.lit(None).cast("int").alias("set_id"), F.col("message_error").alias("reason")
     )
     sets = unresolved_sets(datagrams, framing, elements, registry, on_error, on_unknown)
-    sets = sets.select(*KEYS, F.col("template_id").alias("set_id"), "reason")
-    return rejects.unionByName(broken).unionByName(sets).groupBy(*KEYS, "set_id", "reason").agg(F.count("*").alias("n"))
+    sets = sets.select(*keys, F.col("template_id").alias("set_id"), "reason")
+    return rejects.unionByName(broken).unionByName(sets).groupBy(*keys, "set_id", "reason").agg(F.count("*").alias("n"))
 
 
 def flow_table(

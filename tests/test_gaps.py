@@ -14,7 +14,9 @@ from flowlake.operators import ipfix as ix
 from flowlake.operators import messages as m
 from flowlake.operators import netflow9 as n9
 from flowlake.operators import packet
+from flowlake.operators import records as rc
 from flowlake.operators import sflow as sf
+from flowlake.operators import templates as t
 from flowlake.sources import sinks
 from flowlake.sources.elements import default_elements, load_elements
 
@@ -72,6 +74,32 @@ def test_reports_name_every_loss(spark):
     assert report == {(256, "set does not end on a record"): 1, (256, "message dropped"): 1}
 
 
+def test_domains_behind_one_agent(spark, tmp_path):
+    """Both domains use id 256, the second with source and destination the other way round."""
+
+    def message(domain, *sets):
+        return ipfix(*sets)[:12] + struct.pack(">I", domain) + ipfix(*sets)[16:]
+
+    pair = bytes([10, 0, 0, 1, 10, 0, 0, 2])
+    frame = datagrams(spark, [
+        message(1, fset(2, template(256, (8, 4), (12, 4)))), message(2, fset(2, template(256, (12, 4), (8, 4)))),
+        message(1, fset(256, pair)), message(2, fset(256, pair)), message(1, fset(256, pair[:5])),
+    ])
+    elements = default_elements(spark)
+
+    def sources(table):
+        return {r.msg_id: r.value for r in m.explode_fields(table).where("element_id = 8").collect()}
+
+    assert sources(ix.ipfix_table(frame, elements)) == {2: "10.0.0.2", 3: "10.0.0.2"}
+    apart = rc.with_domain(frame, t.IPFIX)
+    assert sources(ix.ipfix_table(apart, elements)) == {2: "10.0.0.1", 3: "10.0.0.2"}
+    assert {(r.domain, r.reason) for r in ix.ipfix_report(apart, elements).collect()} == {(1, "set does not end on a record")}
+    sinks.save_templates(t.template_registry(ix.template_table(apart), ("agent", "domain")), str(tmp_path / "r"))
+    registry = sinks.load_templates(spark, str(tmp_path / "r"), domain=True)
+    later = rc.with_domain(datagrams(spark, [b"", b"", b"", message(1, fset(256, pair))]), t.IPFIX)
+    assert sources(ix.ipfix_table(later, elements, registry)) == {3: "10.0.0.1"}
+
+
 @pytest.mark.parametrize("n", [3, 4, 5, 64, 65, 300])
 def test_messages_of_many_sets(spark, n):
     frame = datagrams(spark, [ipfix(fset(2, T256)), ipfix(*[fset(256, RECORD)] * n)])
