@@ -29,14 +29,16 @@ from pyspark.sql import types as T
 from flowlake.llm.common import small_batches, table
 from flowlake.llm.pretokens import Pretokens
 
-#: Different text parts, and different pre-tokens, that a worker remembers before it starts anew.
-CACHE = 250_000
+#: Different text parts, and different pre-tokens, that a worker remembers; beyond, it keeps those of the batch at hand.
+CACHE = 200_000
+#: Pre-tokens that one recursive query takes; its steps add up in memory.
+WORDS = 20_000
 #: Bytes from which a pre-token counts as long.
 LONG = 48
 #: Steps of one recursive query.
 STEPS = 60
 #: Tokens that one decoding query takes.
-DECODE_TOKENS = 400_000
+DECODE_TOKENS = 200_000
 
 #: Rows of a word stand at ascending p. A word without a pair in the table leaves the recursion as done; a word with one goes on
 #: without the row that its pair's second token had. ``{chosen}`` picks the pairs: ``first`` (rank, p) and ``second`` by word.
@@ -97,7 +99,7 @@ class BytePairs:
         self._table("tokens", id=np.array(list(self.ranks.values()), "i8"), piece=[token.hex() for token in self.ranks])
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], "i8")
         self.known: dict[str, str] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, str] = {}
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -123,11 +125,11 @@ class BytePairs:
             w, p, ids = w[~over], p[~over], ids[~over]
         return done
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of pre-tokens."""
+    def encode_words(self, words: list[str]) -> dict[str, str]:
+        """Ids of pre-tokens, in decimal, joined by spaces."""
         if len(self.words) > CACHE:
-            self.words.clear()
-        out: dict[str, list[int]] = {}
+            self.words = {word: self.words[word] for word in words if word in self.words}
+        out: dict[str, str] = {}
         short, long = [], []
         for word in words:
             if word in self.words:
@@ -135,26 +137,29 @@ class BytePairs:
                 continue
             raw = word.encode()
             if (rank := self.ranks.get(raw)) is not None:
-                out[word] = [rank]
+                out[word] = str(rank)
             else:
                 (long if len(raw) >= LONG else short).append((word, raw))
-        for some, chosen in ((short, _ONE), (long, _ALL)):
-            if some:
-                new = dict(zip((word for word, _ in some), self._contract([raw for _, raw in some], chosen), strict=True))
+        for every, chosen in ((short, _ONE), (long, _ALL)):
+            for begin in range(0, len(every), WORDS):
+                some = every[begin : begin + WORDS]
+                ids = self._contract([raw for _, raw in some], chosen)
+                new = {word: " ".join(map(str, x)) for (word, _), x in zip(some, ids, strict=True)}
                 self.words |= new
                 out |= new
         return out
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text, in decimal, joined by spaces."""
-        if len(self.known) > CACHE:
-            self.known.clear()
         cuts = [self.pretokens.cuts(text) for text in texts]
-        new = set().union(*cuts).difference(self.known)
+        met = set().union(*cuts)
+        if len(self.known) > CACHE:
+            self.known = {cut: self.known[cut] for cut in met if cut in self.known}
+        new = met.difference(self.known)
         words = {cut: self.pretokens.split(cut) for cut in new}
         ids = self.encode_words(list(set().union(*words.values())))
         for cut, parts in words.items():
-            self.known[cut] = " ".join([str(i) for part in parts for i in ids[part]])
+            self.known[cut] = " ".join([ids[part] for part in parts])
         return [" ".join(map(self.known.__getitem__, parts)) for parts in cuts]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
