@@ -20,6 +20,8 @@ from flowlake.llm.common import lower_ascii, table, text_of, written
 PREFIX = 256
 #: Up to so many (length, prefix hash) pairs, 16 bytes each, are broadcast; more are joined by a shuffle of narrow rows.
 BROADCAST_KEYS = 1_000_000
+#: A group with more than this part of all rows does not go through the shuffle.
+HOT = 1000
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -43,19 +45,21 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
         rows = rows.withColumn("_full", F.when(F.col("_again"), F.col("_full")))
     rows = written(rows.drop("_again", "_head"))
 
-    groups = (
-        rows.filter("_full IS NOT NULL")
-        .groupBy("_n", "_full")
-        .agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-    )
-    alone = F.col("group_size").isNull()
-    joined = rows.join(groups, ["_n", "_full"], "left").select(
+    copies = rows.filter("_full IS NOT NULL")
+    groups = copies.groupBy("_n", "_full").agg(F.max("_key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups.filter("group_size > 1"))
+    # fewer than HOT groups can hold more than 1 / HOT of all rows: they are broadcast, and their rows stay where they are
+    large = F.col("group_size") * HOT > rows.count()
+    hot, cold = F.broadcast(groups.filter(large)), groups.filter(~large)
+    on = ["_n", "_full"]
+    joined = copies.join(hot, on).unionByName(copies.join(hot, on, "left_anti").join(cold, on, "left"))
+    alone = rows.filter("_full IS NULL").withColumns({"keep_id": F.col("_key"), "group_size": F.lit(None).cast("long")})
+    joined = joined.unionByName(alone).select(
         "_key",
         *carry,
-        F.when(alone, F.col("_key")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("_key")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        alone.alias("_alone"),
+        F.col("group_size").isNull().alias("_alone"),
         F.col("_full").alias("full"),
     )
     # repeated rows share key and text: number them, so that one of them stays

@@ -54,11 +54,14 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark, docs):
     assert ed.exact_dedup(nulls).count() == 1
 
 
-def test_exact_groups_without_broadcast(docs, monkeypatch):
-    columns = ["doc_id", "text"]
-    some = sorted(map(str, ed.exact_groups(docs.select(columns)).select("doc_id", "keep_id", "group_size").collect()))
-    monkeypatch.setattr(ed, "BROADCAST_KEYS", 0)
-    assert sorted(map(str, ed.exact_groups(docs.select(columns)).select("doc_id", "keep_id", "group_size").collect())) == some
+@pytest.mark.parametrize(("name", "value"), [("BROADCAST_KEYS", 0), ("HOT", 0), ("HOT", 4)])
+def test_exact_groups_by_other_joins(docs, monkeypatch, name, value):
+    def groups():
+        return sorted(map(str, ed.exact_groups(docs.select("doc_id", "text")).drop("full").collect()))
+
+    some = groups()
+    monkeypatch.setattr(ed, name, value)
+    assert groups() == some
 
 
 def targets(sizes, weights=(5, 2, 1), repeats=3):
