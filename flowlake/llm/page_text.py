@@ -5,10 +5,11 @@ start of its path; the lines of both are aligned by a longest common subsequence
 A neighbour that shares more than half of a page's text is a copy of it and says nothing about the site: then the other
 neighbour is taken, and without one the page keeps its lines. Lines come from the page's blocks; blocks inside elements that say
 what they are (menus, adverts, forms and the like) are not text of the article, and where a page has articles, only they are.
-A shared line that stands in the article element of its page is a passage that both articles have, and stays.
+A shared line that stands in the article element of its page may be a passage that both articles have: it goes if it recurs over
+the host, in the articles of a third of the host's pages and of 4 at least, unless such lines are more than half of the page.
 
 Html moves once: pages are dealt to buckets by ranges of the order, sorted there, and the pages at the edge of a bucket are also
-sent to its neighbour. A host that holds a third of all pages is many ranges. Bucket bounds come from a sample of urls and the
+sent to its neighbour, as are the lines that recur over a host. A host that holds a third of all pages is many ranges. Bucket bounds come from a sample of urls and the
 edges from an aggregation over all urls; they change no result.
 
 Defined cases: null html is an empty page; a page without host has no neighbour; pages that repeat a url are ordered by page_id;
@@ -25,6 +26,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,8 @@ from flowlake.llm.url_filters import with_host_and_path
 BUCKETS, ROWS = 8, 256
 #: From this share of a page's text on, what it has in common with a neighbour makes it a copy.
 COPY = 0.5
+#: A line in articles is the site's if so many of a host's pages have it, and this share of them.
+SITE_PAGES, SITE_SHARE = 4, 1 / 3
 #: Outside of articles, a block with this share of its characters in links is a menu.
 MOSTLY_LINKS = 0.6
 
@@ -208,8 +212,12 @@ def _closeness(a: str, b: str) -> tuple[int, int]:
     return a[:same].count("/"), same
 
 
-def article_text(page: tuple, neighbours: list[tuple]) -> str:
-    """The blocks of the page that may be the article's and that no neighbour shares."""
+def line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def article_text(page: tuple, neighbours: list[tuple], site: frozenset[int] | set[int] = frozenset()) -> str:
+    """The blocks of the page that may be the article's and that neither a neighbour shares nor the site repeats in articles."""
     host, path, blocks = page
     lines = [block[0] for block in blocks]
     kept = [k for k, (_, may_be, _) in enumerate(blocks) if may_be]
@@ -220,9 +228,31 @@ def article_text(page: tuple, neighbours: list[tuple]) -> str:
         if sum(len(lines[k]) for k in kept if k in shared) <= COPY * size:
             kept = [k for k in kept if k not in shared or blocks[k][2]]
             break
+    if site:
+        own = [k for k in kept if not (blocks[k][2] and line_hash(lines[k]) in site)]
+        if sum(len(lines[k]) for k in kept) - sum(len(lines[k]) for k in own) <= COPY * size:
+            kept = own
     return "\n\n".join(lines[k] for k in kept)
 
 
+def site_lines(pages: DataFrame) -> DataFrame:
+    """(host, line) of line hashes that recur in the articles of a host, from pages with host and _html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, lines = [], []
+            for host, source in zip(batch.column("host").to_pylist(), batch.column("_html").to_pylist(), strict=True):
+                found = {line_hash(text) for text, _, article in blocks_of(source or "") if article}
+                hosts += [host] * len(found)
+                lines += found
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64())], ["host", "line"])
+
+    pages = pages.filter("host <> ''").select("host", "_html")
+    often = pages.mapInArrow(run, "host string, line long").groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SITE_PAGES)
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return often.join(sizes, "host").filter(F.col("n") >= SITE_SHARE * F.col("pages")).select("host", "line")
+
+
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """The pages without their html, with ``text`` (empty if none)."""
     spark = pages.sparkSession
@@ -262,9 +292,14 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
         return pd.Series(out)
 
     rows = with_host_and_path(pages.select(*names, F.col(html).alias("_html"), F.col(url).alias("_url")), "_url")
+    known = site_lines(rows)  # some for each host, to each bucket that the host is in
+    ends = [bucket_of(F.concat("host", F.lit(c))) for c in ("\x01", "\x02")]
+    known = known.select("host", "line", *(e.alias(c) for e, c in zip(ends, ("low", "high"), strict=True)))
+    known = known.select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.explode(F.sequence("low", "high")).alias("_bucket"))
     rows = rows.select(*names, "_html", F.struct("host", "path").alias("_at"), order.alias("_order"))
     rows = rows.withColumn("_place", F.explode(places("_order"))).withColumns({"_bucket": F.col("_place.bucket"), "_side": F.col("_place.side")})
     rows = rows.select(*names, "_html", F.col("_at.host").alias("_host"), F.col("_at.path").alias("_path"), "_order", "_bucket", "_side")
+    rows = rows.unionByName(known.withColumn("_side", F.lit(-1)), allowMissingColumns=True)
     rows = rows.repartition("_bucket").sortWithinPartitions("_bucket", "_side", "_order", key, "_html")
     schema = T.StructType([*kept, T.StructField("text", T.StringType())])
 
@@ -272,12 +307,13 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
         window: deque = deque(maxlen=2)  # the page before, and the page whose successor is next: (page, batch columns, side)
         bucket = None
         done: list[tuple[tuple, str]] = []
+        sites: dict[str, set[int]] = {}  # lines that recur over the bucket's hosts
 
         def settle(following: tuple | None) -> None:
             """Extract the window's last page, now that its successor is known."""
             if window and window[-1][2] == 1:
                 page, row, _ = window[-1]
-                done.append((row, article_text(page, [window[0][0] if len(window) > 1 else None, following])))
+                done.append((row, article_text(page, [window[0][0] if len(window) > 1 else None, following], sites.get(page[0], frozenset()))))
 
         def out(types: list[pa.DataType]) -> pa.RecordBatch:
             columns = list(zip(*(row for row, _ in done), strict=True)) if done else [[] for _ in names]
@@ -289,13 +325,17 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
         for batch in batches:
             types = [batch.schema.field(n).type for n in names]
             columns = [batch.column(n).to_pylist() for n in names]
-            parts = [batch.column(c).to_pylist() for c in ("_html", "_host", "_path", "_bucket", "_side")]
-            for k, (source, host, path, b, side) in enumerate(zip(*parts, strict=True)):
+            parts = [batch.column(c).to_pylist() for c in ("_html", "_host", "_path", "_bucket", "_side", "_line")]
+            for k, (source, host, path, b, side, line) in enumerate(zip(*parts, strict=True)):
                 if b != bucket:
                     settle(None)
                     window.clear()
+                    sites.clear()
                     bucket = b
-                elif side == 2 and window and window[-1][2] == 2:
+                if side == -1:
+                    sites.setdefault(host, set()).add(line)
+                    continue
+                if side == 2 and window and window[-1][2] == 2:
                     continue  # only the first page after the bucket counts
                 page = (host, path, blocks_of(source or ""))
                 settle(page)
