@@ -61,6 +61,12 @@ MARKS = frozenset(
     "pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription tags toc toolbar widget widgets warning alert disclaimer".split()
 )
+DISCUSSION = frozenset("comment comments discussion disqus reply replies respond".split())
+#: Words that may stand beside a mark in one name; others, as in has-sidebar, say that the name is about something else.
+NEUTRAL = frozenset(
+    "area bar block body bottom box center col column container content foot group head holder inner item items left line link links list "
+    "middle module panel primary right row secondary section site small sticky strip text title top unit wrap wrapper main page post".split()
+)
 MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
@@ -73,38 +79,72 @@ _WORD = re.compile("[A-Za-z]+")
 _ENDS_PARAGRAPH = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 
 
-def _is_dropped(name: str, attributes: str) -> bool:
+def _marked(value: str) -> int:
+    """2 if a class or id names a discussion, 1 if it names something else that is not the article: all words of one of its names."""
+    found = 0
+    for name in value.split():
+        words = _WORD.findall(name)
+        if words and all(word in MARKS or word in NEUTRAL for word in words) and not MARKS.isdisjoint(words):
+            found = max(found, 1 if DISCUSSION.isdisjoint(words) else 2)
+    return found
+
+
+def _is_dropped(name: str, attributes: str) -> tuple[bool, int]:
+    """Whether the element goes in any case, and the mark that its class or id gives it."""
     if name in DROPPED:
-        return True
-    if not attributes.strip() or name in ("body", "html", "article", "main"):
-        # what holds the whole page or the article is judged by name, but a comment can be an article too
-        if name != "article" or not attributes.strip():
-            return False
+        return True, 0
+    if not attributes.strip() or name in ("body", "html", "main"):
+        return False, 0  # what holds the whole page is judged by name, but a comment can be an article too
+    mark = 0
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and any(word in MARKS for word in _WORD.findall(value)):
-            return True
+        if key in ("class", "id"):
+            mark = max(mark, _marked(value))
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return True, 0
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, 0
+    return False, mark
+
+
+def _released(marks: list[list], out: list[list]) -> set[int]:
+    """Marked elements that hold the article after all.
+
+    An element with an article or main and more than half of the page's text is a wrapper with a name that says something else;
+    where no article or main is outside of marked elements, one of the two is enough. A discussion is one only if the page has no
+    other text.
+    """
+    live = any(not dropped and article and not around for _, dropped, article, _, around in out)
+    own, total, plain = [0] * len(marks), 0, False
+    for text, dropped, _, _, around in out:
+        if not dropped:
+            total += len(text)
+            if around:
+                own[around[-1]] += len(text)
+            plain = plain or all(marks[k][0] == 1 for k in around)
+    found: set[int] = set()
+    for k, (mark, around, holds) in enumerate(marks):
+        most = own[k] * 2 > total
+        if (holds and most if live else holds or most) and (not plain or all(marks[j][0] == 1 for j in (*around, k))):
+            found.update(around, (k,))
+    return found
 
 
 def blocks_of(html: str) -> list[tuple[str, bool, bool]]:
     """The page's blocks in order: text, whether it may be the article's, whether the markup says that it is."""
-    out: list[list] = []  # text, in a dropped element, in an article, characters in links
+    out: list[list] = []  # text, in a dropped element, in an article, share of links, marked elements around
+    marks: list[list] = []  # mark, marked elements around, whether it is or holds an article or main
     parts: list[str] = []
     links = [0]
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article: of the element or any around it
+    stack: list[tuple[str, bool, bool, tuple]] = []  # name, dropped, article, marks: of the element or any around it
     linked = 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, dropped, article = stack[-1] if stack else ("", False, False)
-                out.append([text, dropped, article, links[0] / max(1, len(text))])
+                _, dropped, article, around = stack[-1] if stack else ("", False, False, ())
+                out.append([text, dropped, article, links[0] / max(1, len(text)), around])
             parts.clear()
             links[0] = 0
 
@@ -131,9 +171,9 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool]]:
                 parts.append(" ")
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name not in BLOCKS and any(n in BLOCKS and n != "p" for n, _, _ in stack[k + 1 :]):
+                    if name not in BLOCKS and any(n in BLOCKS and n != "p" for n, *_ in stack[k + 1 :]):
                         break  # an inline end tag closes no block
-                    if len(stack) > k and (stack[k][1] or any(d for _, d, _ in stack[k:])):
+                    if any(d or m for _, d, _, m in stack[k:]):
                         flush()
                     del stack[k:]
                     break
@@ -156,23 +196,33 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool]]:
             continue
         if name == "a":
             linked = 1
-        around = stack[-1] if stack else ("", False, False)
+        around = stack[-1] if stack else ("", False, False, ())
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else end
             continue
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        dropped = around[1] or _is_dropped(name, m[3])
-        if dropped and not around[1]:
+        dropped, mark = _is_dropped(name, m[3])
+        dropped = around[1] or dropped
+        if mark or dropped and not around[1]:
             flush()
         main = name in MAIN or "main" in m[3].lower() and re.search(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody""", m[3], re.I) is not None
-        stack.append((name, dropped, around[2] or main and not dropped))
+        inside = around[3]
+        if mark and not dropped:
+            marks.append([mark, inside, False])
+            inside = (*inside, len(marks) - 1)
+        if main and not dropped:
+            for k in inside:
+                marks[k][2] = True
+        stack.append((name, dropped, around[2] or main and not dropped, inside))
     flush()
-    scoped = any(article and not dropped for _, dropped, article, _ in out)
+    free = _released(marks, out) if marks else set()
+    blocks = [(text, dropped or any(k not in free for k in around), article, share) for text, dropped, article, share, around in out]
+    scoped = any(article and not dropped for _, dropped, article, _ in blocks)
     return [
         (text, not dropped and (article if scoped else linked_share < MOSTLY_LINKS), scoped and article and not dropped)
-        for text, dropped, article, linked_share in out
+        for text, dropped, article, linked_share in blocks
     ]
 
 
