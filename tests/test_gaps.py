@@ -54,6 +54,18 @@ def test_unknown_elements_as_bytes(spark):
         ix.ipfix_table(frame, elements, on_unknown="keep")
 
 
+def test_late_elements_are_built_in(spark):
+    assert default_elements(spark).count() == 460
+    record = bytes([10, 0, 0, 1]) + struct.pack(">IQ", 77, 5) + b"\x02"
+    fields = template(256, (8, 4), (283, 4), (280, 8), (229, 1))
+    frame = datagrams(spark, [ipfix(fset(2, fields)), ipfix(fset(256, record * 2))])
+    read = m.explode_fields(ix.ipfix_table(frame, default_elements(spark))).collect()
+    assert [(r.element_id, r.value) for r in read] == [(8, "10.0.0.1"), (283, "77"), (280, "5"), (229, "2")] * 2
+    lists = datagrams(spark, [ipfix(fset(2, template(256, (8, 4), (291, 3)))), ipfix(fset(256, record[:4] + b"\x01\x02\x03"))])
+    read = m.explode_fields(ix.ipfix_table(lists, default_elements(spark))).collect()
+    assert [(r.element_id, r.value) for r in read] == [(8, "10.0.0.1"), (291, "0x010203")]
+
+
 def test_reports_name_every_loss(spark):
     partial = RECORD * 2 + RECORD[:5]
     broken_template = fset(2, template(300, (8, 4), (7, 2))[:8])
