@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlake.llm.bpe import op4_bpe
 from flowlake.llm.brown_lm import op1_brown_lm
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from flowlake.llm.lexical_search import OP12_SQL, op12_lexical_search
 from flowlake.llm.mixing import op3_mixing
 from flowlake.llm.order_minhash import op5_order_minhash
 from flowlake.llm.page_text import op2_page_text
@@ -28,6 +29,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 
-LLM_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+LLM_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL}
