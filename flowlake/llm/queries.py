@@ -14,6 +14,7 @@ from flowlake.llm.mixing import op3_mixing
 from flowlake.llm.order_minhash import op5_order_minhash
 from flowlake.llm.page_text import op2_page_text
 from flowlake.llm.simhash import op8_simhash
+from flowlake.llm.substring_dedup import op13_substring_dedup
 from flowlake.llm.token_counts import op9_token_counts
 from flowlake.llm.toxicity import op7_toxicity
 from flowlake.llm.url_filters import OP6_SQL, op6_url_filters
@@ -30,6 +31,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_lexical_search": op12_lexical_search,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 LLM_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL}
