@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlake.llm.bpe import op4_bpe
 from flowlake.llm.brown_lm import op1_brown_lm
+from flowlake.llm.conversation_trie import OP11_SQL, op11_conversation_trie
 from flowlake.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from flowlake.llm.lexical_search import OP12_SQL, op12_lexical_search
 from flowlake.llm.mixing import op3_mixing
@@ -30,8 +31,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_lexical_search": op12_lexical_search,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
-LLM_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op12_lexical_search": OP12_SQL}
+LLM_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op12_lexical_search": OP12_SQL}
