@@ -14,17 +14,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Rows of an Arrow batch; with whole texts in them, batches stay at some megabytes.
 BATCH_ROWS = 1000
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: it is computed once, and a lost executor takes nothing with it."""
+def written(frame: DataFrame, release: bool = False) -> DataFrame:
+    """The frame as a table in the shared folder: it is computed once, and a lost executor takes nothing with it.
+
+    ``release`` drops the shuffle files of this one job as soon as the table stands.
+    """
     spark = frame.sparkSession
     folder = f"{shared_folder(spark)}/flowlake-llm-{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true" if release else before)
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(frame.schema).parquet(folder)
 
 

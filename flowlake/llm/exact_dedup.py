@@ -75,9 +75,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     mark = F.xxhash64(lower_ascii(text_of(text)))
     marked = docs.withColumn("_mark", mark).withColumn("_key2", F.col(key))
     stay = exact_groups(marked, key=key, text=text, carry=("_mark",)).filter("kept").select(F.col(key).alias("_key2"), "_mark")
-    turn = F.row_number().over(W.partitionBy("_key2", "_mark").orderBy(F.lit(1)))
-    left = marked.withColumn("_turn", turn)
-    right = stay.withColumn("_turn", turn)
+    over = W.partitionBy("_key2", "_mark")
+    # rows that share key and text may differ elsewhere: the order by all columns makes reruns agree
+    left = marked.withColumn("_turn", F.row_number().over(over.orderBy(F.xxhash64(*docs.columns))))
+    right = stay.withColumn("_turn", F.row_number().over(over.orderBy(F.lit(1))))
     same = [left[c].eqNullSafe(right[c]) for c in ("_key2", "_mark", "_turn")]
     return left.join(right, same[0] & same[1] & same[2], "left_semi").select(*docs.columns)
 

@@ -134,18 +134,19 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     n_null, least = rows.agg(F.count_if(F.col("key").isNull()), F.min("key")).first()
 
     @F.pandas_udf("array<int>")
-    def places(values: pd.Series) -> pd.Series:
+    def places(values: pd.Series, nulls: pd.Series) -> pd.Series:
         """The bucket of a key; that of the one before, where the key starts a bucket; the last, where it is the first of all."""
         out = []
-        for value in values:
-            none = value is None or value != value
+        for value, none in zip(values, nulls, strict=True):
             bucket = 0 if none else bisect_right(starts, value)
             ahead = [bucket - 1] if bucket and value == starts[bucket - 1] else []
             ahead += [len(starts)] if (none if n_null else not none and value == least) else []
             out.append([bucket, *(-1 - b for b in ahead)])  # negative: only looked at
         return pd.Series(out)
 
-    dealt = rows.withColumn("place", F.explode(places("key")))
+    # a series of long keys with a null among them would turn into floats: nulls go as a column of their own
+    filled = F.coalesce(F.col("key"), F.lit(0).cast(docs.schema[key].dataType))
+    dealt = rows.withColumn("place", F.explode(places(filled, F.col("key").isNull())))
     dealt = dealt.withColumns({"ahead": F.col("place") < 0, "bucket": F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))})
     dealt = dealt.select("key", "text", "ahead", "bucket").repartition("bucket").sortWithinPartitions("bucket", "ahead", F.asc_nulls_first("key"), "text")
     schema = T.StructType(

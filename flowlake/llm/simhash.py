@@ -403,7 +403,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", **parameters) -> DataFrame:
     stay = groups.filter(F.col("_key2").eqNullSafe(F.col("component_id"))).select("_key2", "_mark", "fp", "fp2")
     # a key that repeats may have several texts in one group: the least mark stays, once
     first = stay.groupBy("_key2", "fp", "fp2").agg(F.min("_mark").alias("_mark")).select("_key2", "_mark").distinct()
-    turn = F.row_number().over(W.partitionBy("_key2", "_mark").orderBy(F.lit(1)))
+    # rows that share key and text may differ elsewhere: the order by all columns makes reruns agree
+    turn = F.row_number().over(W.partitionBy("_key2", "_mark").orderBy(F.xxhash64(*docs.columns)))
     same = [marked[c].eqNullSafe(first[c]) for c in ("_key2", "_mark")]
     left = marked.join(first, same[0] & same[1], "left_semi")
     return left.withColumn("_turn", turn).filter("_turn = 1").select(*docs.columns)

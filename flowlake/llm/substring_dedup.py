@@ -7,7 +7,8 @@ different segments: suffixes sorted to the depth of a window, the Burrows-Wheele
 and symbol counts. The segments are then streamed against it: backward search over the wavelet matrix gives, for each word, how
 far to the left its text occurs elsewhere in the shard (the matching statistics, up to the window); where that reaches the
 threshold, the first row of the interval is the window's earliest occurrence, for rows that tie are in order of position. A
-segment whose common core is found nowhere else needs one short search for all its windows.
+segment whose common core is found nowhere else needs one short search for all its windows; one whose minimizer no other segment
+of the shard has needs none and is not indexed.
 
 Segments that are equal are sent once per block of a task, with the earliest place: a passage in a third of all documents
 reaches its shard as some rows per task. Minimizers that a sample shows to be hot (copies that differ around a shared passage)
@@ -46,7 +47,7 @@ SAMPLE, HOT = 20_000, 0.25
 #: Rank blocks of the wavelet matrix, in bits.
 _BITS = 64
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_SEGMENT = np.dtype([("key", "<i8"), ("null", "i1"), ("mark", "<i8"), ("start", "<i4"), ("bytes", "<i4")])
+_SEGMENT = np.dtype([("key", "<i8"), ("null", "i1"), ("mark", "<i8"), ("start", "<i4"), ("bytes", "<i4"), ("least", "<u4"), ("again", "i1")])
 
 
 # ------------------------------------------------------------------ FM-index
@@ -139,6 +140,8 @@ class FmIndex:
 
 def first_windows(segments: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
     """For each segment, in order of place and all different: whether each of its windows occurs nowhere before."""
+    if not segments:
+        return []
     words = cut_words([s.decode() for s in segments], WHITE_SPACE)
     sizes = np.diff(words.first)
     # a separator before each segment and one at the end
@@ -215,6 +218,17 @@ def runs(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np
     return starts[heads], np.diff(np.concatenate((heads, [len(starts)]))), least[heads]
 
 
+def _repeats_inside(words: Words, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether equal windows within one segment can't be ruled out: they need a part that comes twice in it."""
+    grams = _grams(words, GRAM)
+    twice = np.zeros(len(grams) + 1, np.int64)
+    most = WINDOW - GRAM + 1  # windows that can share one place of their minimizer
+    for by in range(1, min(most + WINDOW - GRAM, len(grams))):
+        twice[1 : len(grams) - by + 1] |= grams[by:] == grams[:-by]
+    twice = np.cumsum(twice)
+    return (n > 1) & ((n > most) | (twice[start + n + WINDOW - GRAM] > twice[start]))
+
+
 def _normal_bytes(words: Words) -> tuple[bytes, np.ndarray]:
     """The words with one space after each, and where each begins."""
     sizes = np.diff(words.offsets)
@@ -249,6 +263,8 @@ def _segments(rows: dict[str, list], hot: np.ndarray, shards: int) -> Iterator[t
     facts["mark"] = np.array([rows["mark"][i] for i in order], np.int64)[doc]
     facts["start"] = start[kept] - words.first[doc]
     facts["bytes"] = (end - begin)[kept]
+    facts["least"] = least[kept] >> np.uint64(32)
+    facts["again"] = _repeats_inside(words, start[kept], n[kept])
     bounds = np.flatnonzero(np.diff(shard[kept], prepend=-1, append=shards))
     begins, ends = begin[kept].tolist(), end[kept].tolist()
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -321,7 +337,13 @@ def _first_runs(rows: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
         for i in order.tolist():
             earliest.setdefault(texts[i], i)
         kept = list(earliest.values())
-        first = first_windows(list(earliest))
+        # equal windows share their minimizer; where no other segment has it, there is nothing to search
+        _, name, times = np.unique(facts["least"][kept], return_inverse=True, return_counts=True)
+        shared = (times[name] > 1) | (facts["again"][kept] == 1)
+        first = [np.ones(max(1, text.count(b" ") + 2 - WINDOW), bool) for text in earliest]
+        searched = first_windows([text for text, several in zip(earliest, shared.tolist(), strict=True) if several])
+        for k, judged in zip(np.flatnonzero(shared).tolist(), searched, strict=True):
+            first[k] = judged
         sizes = np.array([len(f) for f in first])
         flags = np.concatenate(first)
         at = np.arange(len(flags)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -361,11 +383,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-n_bytes // SHARD_BYTES))
     first = _first_runs(rows, _hot_minimizers(rows, n_rows, shards), shards)
+    first = written(first, release=True)
     # repeated rows meet in the tasks that read them, so that a row in a third of the table is no hot key
-    same = rows.groupBy("key", "mark").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
-    found = first.groupBy("key", "mark").agg(F.collect_list("run").alias("runs"))
-    on = same["key"].eqNullSafe(found["key"]) & (same["mark"] == found["mark"])
-    met = same.join(found, on, "left").select(same["key"], "text", "copies", "runs")
+    on = [F.coalesce("key", F.lit(0)).alias("k"), F.col("key").isNull().alias("null"), "mark"]
+    same = rows.groupBy(*on).agg(F.min("key").alias("key"), F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    found = first.groupBy(*on).agg(F.collect_list("run").alias("runs"))
+    met = same.join(found, ["k", "null", "mark"], "left").select("key", "text", "copies", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]

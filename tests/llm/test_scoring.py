@@ -172,7 +172,8 @@ def test_op5(spark, monkeypatch):
 
 def test_next_cases(spark, monkeypatch):
     monkeypatch.setattr(om, "ROWS", 1)
-    for rows in (ODD, ODD[:1], ODD[3:5], [(k // 3, f"text {k}") for k in range(40)]):
+    large = [(2**53 + 1 + k, f"text {k}") for k in range(100)]
+    for rows in (ODD, ODD[:1], ODD[3:5], [(k // 3, f"text {k}") for k in range(40)], large, [*large, *[(None, f"none {k}") for k in range(3)]]):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         check_next(om.with_next(docs).collect(), rows)
     assert om.with_next(docs.limit(0)).count() == 0

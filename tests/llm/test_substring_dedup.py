@@ -77,6 +77,16 @@ def test_long_runs(spark, monkeypatch):
     assert result(spark, documents) == plainly(documents)
 
 
+def test_repeats_inside_one_segment(spark):
+    rng = random.Random(9)
+    documents = []
+    for i in range(60):
+        period = [f"{i}p{k}" for k in range(rng.randint(1, 30))]
+        documents.append((i, " ".join(period * rng.randint(1, 8) + [f"{i}e{k}" for k in range(rng.randint(0, 30))])))
+    want = plainly(documents)
+    assert any(n for _, _, n, _ in want) and result(spark, documents) == want
+
+
 def test_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     documents = [(None, passage), (1, None), (2, ""), (3, passage), (4, "few words"), (2**60, passage + " end"), (-7, "start " + passage)]
