@@ -1,4 +1,9 @@
-"""From documents to training tokens: filter, dedup twice, mix, encode. Each stage works on all that the one before kept."""
+"""From documents to training tokens: filter, dedup twice, mix, encode. Each stage works on all that the one before kept.
+
+Null texts count as empty; they and empty texts are scored, are copies of each other, and give no tokens. Null keys rank last in both
+dedups. Of repeated rows one stays. Columns beside those of documents pass through all stages but the last, also those that
+have the name of a column that a stage makes. Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +17,16 @@ from flowlake.llm.bpe import encode_documents
 from flowlake.llm.common import table, written
 from flowlake.llm.exact_dedup import exact_dedup
 from flowlake.llm.mixing import mix
-from flowlake.llm.near_copies import dedup as near_dedup
+from flowlake.llm.simhash import near_dedup
 from flowlake.llm.toxicity import THRESHOLD, score_documents, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it learns from the labels outside of the held-out fold."""
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return score_documents(docs, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns}
+    kept = score_documents(docs.withColumnsRenamed(own), model, text=own["text"]).filter(F.col("score") < THRESHOLD)
+    return kept.select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +35,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 4/5 of their five-word shingles, decided exactly, the row with the least doc_id stays."""
-    return near_dedup(docs)
+    """Of each group of fingerprints over four-word shingles that differ in 4 bits at most, the row with the least doc_id stays."""
+    return near_dedup(docs, words=4, bits=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +66,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = written(stage(spark, docs, sf_dir), release=True)
     return docs
