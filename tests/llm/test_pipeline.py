@@ -2,6 +2,7 @@
 
 import corpus_pipeline as cp
 import pytest
+from test_simhash import brute_groups, brute_print
 
 
 @pytest.fixture(scope="module")
@@ -39,22 +40,18 @@ def test_copies_and_near_copies_go(spark, kept):
     plain = [texts[i].translate(fold) for i in kept[2]]
     assert len(set(plain)) == len(plain) == len({texts[i].translate(fold) for i in kept[1]})
 
-    def shingles(text):
-        words = text.lower().split()
-        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    prints = {i: brute_print(texts[i], 4) for i in kept[2]}
+    stay = kept[3]
+    assert set(stay) == {list(prints)[k] for k in brute_groups_by_key(prints)}
+    assert all((prints[a] ^ prints[b]).bit_count() > 4 for a in stay for b in stay if a < b)
 
-    sets = {i: shingles(texts[i]) for i in kept[2]}
-    where = {}
-    for i, some in sets.items():
-        for s in some:
-            where.setdefault(s, []).append(i)
-    pairs = {(a, b) for ids in where.values() if len(ids) < 50 for a in ids for b in ids if a < b}
-    similar = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    stay = set(kept[3])
-    assert similar and sum(a in stay and b in stay for a, b in similar) <= 0.05 * len(similar)
-    gone = set(kept[2]) - stay
-    related = {x for a, b in pairs if len(sets[a] & sets[b]) >= 0.3 * len(sets[a] | sets[b]) for x in (a, b)}
-    assert len(gone - related) <= 0.01 * len(kept[2])
+
+def brute_groups_by_key(prints):
+    """Places of the documents with the least key of each group."""
+    keys = sorted(prints)
+    roots = brute_groups([prints[k] for k in keys], lambda a, b: (a ^ b).bit_count() <= 4)
+    places = {key: place for place, key in enumerate(prints)}
+    return {places[keys[r]] for r in roots}
 
 
 def test_run_and_empty_tables(spark, tmp_path):
