@@ -1,13 +1,13 @@
 """Data records of template protocols: slice resolved sets into fields.
 
-Stages: resolve the template of every set (one shuffle or none, see
+Stages: resolve the template of every set (no shuffle of sets where the versions are few, see
 :func:`flowlake.operators.templates.resolve_templates`), work out where the records of a set
 start, settle what a broken set does to its message, slice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions import bytes as b
@@ -16,6 +16,7 @@ from flowlake.functions.values import column_texts, is_literal, value_text
 from flowlake.operators import templates as t
 from flowlake.operators.flows import PROFILES
 from flowlake.operators.templates import Framing
+from flowlake.session import stored
 
 
 def keys_of(frame: DataFrame) -> tuple[str, ...]:
@@ -65,19 +66,19 @@ def announcements(datagrams: DataFrame, framing: Framing, registry: DataFrame |
     return seen if registry is None else seen.unionByName(registry.select(*columns))
 
 
-def typed_versions(
+def versions_and_layouts(
     datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
-) -> DataFrame:
-    """Change points of all templates, ready to slice with."""
+) -> tuple[DataFrame, DataFrame]:
+    """Change points of all templates by the name of their field list, and the dictionary of field lists, ready to slice with."""
     keys = keys_of(datagrams)
-    versions = t.template_versions(announcements(datagrams, framing, registry), keys)
-    return t.type_templates(versions, elements, framing.enterprise, keys)
+    versions = stored(t.template_versions(announcements(datagrams, framing, registry), keys))
+    return t.with_layout(versions), stored(t.layouts(versions, elements, framing.enterprise))
 
 
-def resolved_sets(datagrams: DataFrame, framing: Framing, typed: DataFrame) -> DataFrame:
-    """Every data set with its typed template; the template's columns are null where unknown."""
+def resolved_sets(datagrams: DataFrame, framing: Framing, versions: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Every data set with its typed template; the template's columns are null where unknown. Bytes do not move."""
     sets = t.data_sets(message_header(datagrams, framing), framing)
-    return t.resolve_templates(sets, typed, keys_of(datagrams))
+    return t.resolve_templates(sets, versions, keys_of(datagrams)).join(t.small(layouts), "layout", "left")
 
 
 _SPAN = "struct<off:int,len:int>"
@@ -141,27 +142,30 @@ def set_status(resolved: DataFrame, framing: Framing, on_unknown: str = "drop_se
     )
 
 
+def fatal_messages(status: DataFrame) -> DataFrame:
+    """Messages in which a set ends amiss, with the first such set: keys only, and few, for broken sets are rare."""
+    message = [*keys_of(status), "recv_ts", "msg_id"]
+    bad = status.where(F.col("fatal") & F.col("message_error").isNull())
+    return t.small(stored(bad.groupBy(*message).agg(F.min("set_ix").alias("first_bad"))))
+
+
 def usable_sets(status: DataFrame, framing: Framing, on_error: str = "drop_message") -> DataFrame:
     """Sets whose records count.
 
     IPFIX, ``drop_message``: a fatal set spoils its whole message. v9, ``drop_message``: records up
-    to and inside the broken set stay, later sets of the message go. Both look at one message at a
-    time (a datagram), through one shuffle on the message. ``keep_sets`` judges every set alone and
-    needs no shuffle.
+    to and inside the broken set stay, later sets of the message go. Both first find the messages concerned, as keys, and join
+    those to the sets, which stay where they are. ``keep_sets`` judges every set alone.
     """
     if on_error not in ("drop_message", "keep_sets"):
         raise ValueError(f"on_error must be 'drop_message' or 'keep_sets', not {on_error!r}")
     skipped = F.coalesce(F.col("reason").isin("unknown template", "unknown element", "empty template"), F.lit(False))
-    good = status.where(~skipped) if on_error == "keep_sets" else None
-    if good is not None:
+    good = status.where(~skipped)
+    if on_error == "keep_sets":
         return good.where(~F.col("fatal")) if framing.proto == "ipfix" else good
-    message = Window.partitionBy(*keys_of(status), "recv_ts", "msg_id")
-    first_bad = F.min(F.when(F.col("fatal") & F.col("message_error").isNull(), F.col("set_ix"))).over(message)
+    bad, message = fatal_messages(status), [*keys_of(status), "recv_ts", "msg_id"]
     if framing.proto == "ipfix":
-        kept = status.where(F.col("message_error").isNull()).withColumn("first_bad", first_bad).where("first_bad IS NULL")
-    else:
-        kept = status.withColumn("first_bad", first_bad).where("first_bad IS NULL OR set_ix <= first_bad")
-    return kept.drop("first_bad").where(~skipped)
+        return good.where(F.col("message_error").isNull()).join(bad, message, "left_anti")
+    return good.join(bad, message, "left").where("first_bad IS NULL OR set_ix <= first_bad").drop("first_bad")
 
 
 def record_plan() -> Column:
@@ -210,8 +214,8 @@ def records_table(
     on_unknown: str = "drop_set",
 ) -> DataFrame:
     """One row per data record of the datagrams."""
-    typed = typed_versions(datagrams, framing, elements, registry)
-    status = set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown)
+    known = versions_and_layouts(datagrams, framing, elements, registry)
+    status = set_status(resolved_sets(datagrams, framing, *known), framing, on_unknown)
     records = slice_records(usable_sets(status, framing, on_error), reduced_size)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     return records.withColumn("AgentID", F.col("agent")).withColumn("export_time", F.timestamp_seconds(seconds))
@@ -229,11 +233,10 @@ def unresolved_sets(
 
     With ``on_error="drop_message"`` also the good sets that fall with a broken one of their message, as "message dropped".
     """
-    typed = typed_versions(datagrams, framing, elements, registry)
-    status = set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown)
+    known = versions_and_layouts(datagrams, framing, elements, registry)
+    status = set_status(resolved_sets(datagrams, framing, *known), framing, on_unknown)
     if on_error == "drop_message":
-        message = Window.partitionBy(*keys_of(status), "recv_ts", "msg_id")
-        status = status.withColumn("first_bad", F.min(F.when(F.col("fatal"), F.col("set_ix"))).over(message))
+        status = status.join(fatal_messages(status), [*keys_of(status), "recv_ts", "msg_id"], "left")
         fallen = F.col("first_bad").isNotNull() & (F.lit(framing.proto == "ipfix") | (F.col("set_ix") > F.col("first_bad")))
         status = status.withColumn("reason", F.coalesce("reason", F.when(fallen, "message dropped")))
     return status.where(F.col("reason").isNotNull()).select(
@@ -290,14 +293,15 @@ def flow_table(
         last = F.try_element_at(own, F.lit(-1))
         return F.when(last.isNotNull(), F.struct(*[last[name].alias(name) for name in ("ix", "off", "length", "kind", "width")]))
 
+    versions, layouts = versions_and_layouts(datagrams, framing, elements, registry)
     # fixed templates need no field list any more once the places are known
-    typed = typed_versions(datagrams, framing, elements, registry).select(
+    typed = layouts.select(
         "*",
         F.exists("fields", lambda f: f["scope"]).alias("optional"),
         *[place(wanted).alias(f"_{name}") for name, wanted, _, _ in columns],
     )
     typed = typed.withColumn("fields", F.when(F.col("variable"), F.col("fields")).otherwise(F.slice("fields", 1, 0)))
-    sets = usable_sets(set_status(resolved_sets(datagrams, framing, typed), framing, on_unknown), framing, on_error)
+    sets = usable_sets(set_status(resolved_sets(datagrams, framing, versions, stored(typed)), framing, on_unknown), framing, on_error)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     placed = sets.where("NOT optional").select(
         "agent", "recv_ts", "msg_id", F.timestamp_seconds(seconds).alias("export_time"), "body", "record_bytes",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowlake.functions import bytes as b
 from flowlake.functions.columns import settle
 from flowlake.functions.values import kind_of, width_of
+from flowlake.session import stored
 
 SPECIFIER = "struct<element_id:int,length:int,enterprise:bigint,scope:boolean>"
 SET = "struct<set_id:int,off:int,len:int>"
@@ -281,29 +282,32 @@ def template_versions(announcements: DataFrame, keys: tuple[str, ...] = ("agent"
     return versions.where(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to"))).drop("rec_ix")
 
 
-def type_templates(versions: DataFrame, elements: DataFrame, enterprise: bool = True, keys: tuple[str, ...] = ("agent",)) -> DataFrame:
-    """Template fields with their place in the record and how to read them.
+def with_layout(versions: DataFrame) -> DataFrame:
+    """Versions with the digest of their fields, ``layout``, instead of the fields."""
+    return versions.withColumn("layout", F.md5(F.to_json("fields").cast("binary"))).drop("fields")
 
-    Works on templates, not on data: a lookup join with the (small, driver-made) dictionary and
-    one grouping per template, whose field list is bounded by the size of a datagram. v9 looks
+
+def layouts(versions: DataFrame, elements: DataFrame, enterprise: bool = True) -> DataFrame:
+    """The dictionary of different field lists, by ``layout``, with each field's place in the record and how to read it.
+
+    Exporters of one kind announce the same field lists, so this has far fewer rows than there are versions. A lookup join with
+    the (small, driver-made) elements and one grouping per field list, which is bounded by the size of a datagram. v9 looks
     every id up under enterprise 0.
     """
-    identity = [*keys, "template_id", "valid_from", "valid_to"]
-    rows = versions.select(*identity, F.posexplode_outer("fields").alias("ix", "f")).select(
-        *identity, "ix", "f.*"
-    )
+    lists = versions.select(F.md5(F.to_json("fields").cast("binary")).alias("layout"), "fields").dropDuplicates(["layout"])
+    rows = lists.select("layout", F.posexplode_outer("fields").alias("ix", "f")).select("layout", "ix", "f.*")
     names = elements.select(
         F.col("enterprise").alias("x_enterprise"), F.col("element_id").alias("x_id"), "name", F.col("type").alias("type_name")
     )
     number = F.col("enterprise") if enterprise else F.lit(0)
-    typed = rows.join(names, (F.col("x_enterprise") == number) & (F.col("x_id") == F.col("element_id")), "left")
+    typed = rows.join(F.broadcast(names), (F.col("x_enterprise") == number) & (F.col("x_id") == F.col("element_id")), "left")
     kind, width = kind_of(F.col("type_name")), width_of(F.col("type_name"))
     stretchy = (F.col("length") == 65535) & kind.isin("text", "bytes") if enterprise else F.lit(False)
     field = F.struct(
         "ix", "element_id", "length", "enterprise", "scope", kind.alias("kind"), width.alias("width"),
         F.coalesce(stretchy, F.lit(False)).alias("variable"),
     )
-    grouped = typed.groupBy(*identity).agg(
+    grouped = typed.groupBy("layout").agg(
         F.array_sort(F.collect_list(F.when(F.col("ix").isNotNull(), field))).alias("fields"),
         F.sum(F.when(stretchy, 1).otherwise(F.col("length"))).cast("int").alias("record_bytes"),
         F.coalesce(F.max(stretchy), F.lit(False)).alias("variable"),
@@ -318,23 +322,67 @@ def type_templates(versions: DataFrame, elements: DataFrame, enterprise: bool =
     return grouped.withColumn("fields", placed)
 
 
+#: Rows of a relation (some 100 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 500_000
+#: Versions of one template that share a slot, on average.
+SLOT = 4
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """A stored frame, marked for broadcast where its counted rows are few; else it is joined by a shuffle."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def version_slots(versions: DataFrame, keys: tuple[str, ...] = ("agent",)) -> tuple[DataFrame, DataFrame]:
+    """The stretch of positions of each template cut into slots, and the versions once for each slot that they reach into.
+
+    First: template, ``begins``, ``wide`` and ``slots``; second: the versions with ``slot``. A template with ``SLOT`` changes or less
+    is one slot. One that flaps has slots in proportion to its changes, so a set meets a few versions however many there
+    are; slots are of even width in time (in message number where all changes come at one time).
+    """
+    place = F.unix_micros(F.col("valid_from.recv_ts"))
+    over = [*keys, "template_id"]
+    spans = versions.groupBy(*over).agg(
+        F.count("*").alias("n"), F.min(place).alias("t0"), F.max(place).alias("t1"),
+        F.min("valid_from.msg_id").alias("m0"), F.max("valid_from.msg_id").alias("m1"),
+    )
+    timed = F.col("t1") > F.col("t0")
+    slots = F.greatest(F.lit(1), F.floor((F.col("n") - 1) / SLOT))
+    begins, ends = F.when(timed, F.col("t0")).otherwise(F.col("m0")), F.when(timed, F.col("t1")).otherwise(F.col("m1"))
+    spans = spans.select(
+        *over, timed.alias("timed"), begins.alias("begins"), (F.floor((ends - begins) / slots) + 1).alias("wide"), slots.alias("slots")
+    )
+    joined = versions.join(spans, over)
+    reach = F.when(F.col("valid_to").isNull(), F.col("slots") - 1).otherwise(slot_of(F.col("valid_to.recv_ts"), F.col("valid_to.msg_id")))
+    slot = F.explode(F.sequence(slot_of(F.col("valid_from.recv_ts"), F.col("valid_from.msg_id")), reach))
+    return spans, joined.select(*versions.columns, slot.alias("slot"))
+
+
+def slot_of(recv_ts: Column, msg_id: Column) -> Column:
+    """The slot of a position, by the columns of :func:`version_slots`."""
+    at = F.when(F.col("timed"), F.unix_micros(recv_ts)).otherwise(msg_id)
+    return F.least(F.greatest(F.expr("0L"), F.floor((at - F.col("begins")) / F.col("wide"))), F.col("slots") - 1)
+
+
 def resolve_templates(sets: DataFrame, versions: DataFrame, keys: tuple[str, ...] = ("agent",)) -> DataFrame:
     """Every data set with the template that was valid when it came in (null if none was).
 
-    An equi join on (agent, id) whose residual picks the one version covering the set's position.
-    Versions are change points, far fewer than sets. Adaptive execution may broadcast them once their
-    size is known; otherwise it splits a hot agent's sets. Needs no window over the sets.
+    Two equi joins, on the template and on (template, slot), whose residual picks the one version covering the set's position.
+    Where the versions' size, counted once they are stored, allows it, both are broadcast and no set moves; else sets are
+    dealt by (template, slot), which spreads one that flaps. No window over the sets, and no pairs of all sets with all versions.
     """
-    at = F.struct(*[F.col(f"s.{c}") for c in ORDER])
-    condition = (
-        (F.col("s.template_id") == F.col("v.template_id"))
-        & (at > F.col("v.valid_from"))
-        & (F.col("v.valid_to").isNull() | (at <= F.col("v.valid_to")))
-    )
-    for key in keys:
-        condition &= F.col(f"s.{key}") == F.col(f"v.{key}")
-    extra = [F.col(f"v.{c}") for c in versions.columns if c not in (*keys, "template_id")]
-    return sets.alias("s").join(versions.alias("v"), condition, "left").select("s.*", *extra)
+    versions = stored(versions)
+    spans, slotted = (small(stored(frame)) for frame in version_slots(versions, keys))
+    over = [*keys, "template_id"]
+    marked = sets.join(spans, over, "left").withColumn("slot", slot_of(F.col("recv_ts"), F.col("msg_id"))).select(*sets.columns, "slot")
+    same = [F.col(f"s.{c}") == F.col(f"v.{c}") for c in (*over, "slot")]
+    position = F.struct(*[F.col(f"s.{c}") for c in ORDER])
+    covers = (position > F.col("v.valid_from")) & (F.col("v.valid_to").isNull() | (position <= F.col("v.valid_to")))
+    extra = [F.col(f"v.{c}") for c in versions.columns if c not in over]
+    condition = covers
+    for one in same:
+        condition &= one
+    return marked.alias("s").join(slotted.alias("v"), condition, "left").select(*[F.col(f"s.{c}") for c in sets.columns], *extra)
 
 
 def name_elements(fields: DataFrame, elements: DataFrame) -> DataFrame:

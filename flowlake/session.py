@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that can be changed on a running session.
 RUNTIME_CONF = {
@@ -34,6 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{below}/_scratch"
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder, so that its size is known and what it took is not done again."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/flowlake-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
