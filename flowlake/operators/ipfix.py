@@ -35,6 +35,11 @@ def ipfix_table(datagrams: DataFrame, elements: DataFrame, registry: DataFrame |
     return r.records_table(datagrams, IPFIX, elements, registry, **options)
 
 
+def ipfix_flow_rows(datagrams: DataFrame, elements: DataFrame, registry: DataFrame | None = None, **options) -> DataFrame:
+    """Wide flow rows; options as for :func:`flowlake.operators.records.flow_table`."""
+    return r.flow_table(datagrams, IPFIX, elements, registry, **options)
+
+
 def ipfix_report(datagrams: DataFrame, elements: DataFrame, registry: DataFrame | None = None, **options) -> DataFrame:
     """Counts of what gave no records; options as for :func:`flowlake.operators.records.decode_report`."""
     return r.decode_report(datagrams, IPFIX, elements, registry, **options)

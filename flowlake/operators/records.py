@@ -71,14 +71,15 @@ def versions_and_layouts(
 ) -> tuple[DataFrame, DataFrame]:
     """Change points of all templates by the name of their field list, and the dictionary of field lists, ready to slice with."""
     keys = keys_of(datagrams)
-    versions = stored(t.template_versions(announcements(datagrams, framing, registry), keys))
-    return t.with_layout(versions), stored(t.layouts(versions, elements, framing.enterprise))
+    versions = stored(t.with_layout(t.template_versions(announcements(datagrams, framing, registry), keys)))
+    return versions.drop("fields"), stored(t.layouts(versions, elements, framing.enterprise))
 
 
 def resolved_sets(datagrams: DataFrame, framing: Framing, versions: DataFrame, layouts: DataFrame) -> DataFrame:
     """Every data set with its typed template; the template's columns are null where unknown. Bytes do not move."""
     sets = t.data_sets(message_header(datagrams, framing), framing)
-    return t.resolve_templates(sets, versions, keys_of(datagrams)).join(t.small(layouts), "layout", "left")
+    named = t.hinted(layouts.count(), layouts)[0]
+    return t.resolve_templates(sets, versions, keys_of(datagrams)).join(named, "layout", "left")
 
 
 _SPAN = "struct<off:int,len:int>"
@@ -146,7 +147,8 @@ def fatal_messages(status: DataFrame) -> DataFrame:
     """Messages in which a set ends amiss, with the first such set: keys only, and few, for broken sets are rare."""
     message = [*keys_of(status), "recv_ts", "msg_id"]
     bad = status.where(F.col("fatal") & F.col("message_error").isNull())
-    return t.small(stored(bad.groupBy(*message).agg(F.min("set_ix").alias("first_bad"))))
+    found = stored(bad.groupBy(*message).agg(F.min("set_ix").alias("first_bad")))
+    return t.hinted(found.count(), found)[0]
 
 
 def usable_sets(status: DataFrame, framing: Framing, on_error: str = "drop_message") -> DataFrame:

@@ -283,8 +283,8 @@ def template_versions(announcements: DataFrame, keys: tuple[str, ...] = ("agent"
 
 
 def with_layout(versions: DataFrame) -> DataFrame:
-    """Versions with the digest of their fields, ``layout``, instead of the fields."""
-    return versions.withColumn("layout", F.md5(F.to_json("fields").cast("binary"))).drop("fields")
+    """Versions with the digest of their fields, ``layout``."""
+    return versions.withColumn("layout", F.md5(F.to_json("fields").cast("binary")))
 
 
 def layouts(versions: DataFrame, elements: DataFrame, enterprise: bool = True) -> DataFrame:
@@ -294,7 +294,7 @@ def layouts(versions: DataFrame, elements: DataFrame, enterprise: bool = True) -
     the (small, driver-made) elements and one grouping per field list, which is bounded by the size of a datagram. v9 looks
     every id up under enterprise 0.
     """
-    lists = versions.select(F.md5(F.to_json("fields").cast("binary")).alias("layout"), "fields").dropDuplicates(["layout"])
+    lists = versions.select("layout", "fields").dropDuplicates(["layout"])
     rows = lists.select("layout", F.posexplode_outer("fields").alias("ix", "f")).select("layout", "ix", "f.*")
     names = elements.select(
         F.col("enterprise").alias("x_enterprise"), F.col("element_id").alias("x_id"), "name", F.col("type").alias("type_name")
@@ -328,9 +328,9 @@ BROADCAST_ROWS = 500_000
 SLOT = 4
 
 
-def small(frame: DataFrame) -> DataFrame:
-    """A stored frame, marked for broadcast where its counted rows are few; else it is joined by a shuffle."""
-    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+def hinted(rows: int, *frames: DataFrame) -> list[DataFrame]:
+    """The frames, marked for broadcast where so many rows are few; else they are joined by a shuffle."""
+    return [F.broadcast(frame) if rows <= BROADCAST_ROWS else frame for frame in frames]
 
 
 def version_slots(versions: DataFrame, keys: tuple[str, ...] = ("agent",)) -> tuple[DataFrame, DataFrame]:
@@ -368,11 +368,12 @@ def resolve_templates(sets: DataFrame, versions: DataFrame, keys: tuple[str, ...
     """Every data set with the template that was valid when it came in (null if none was).
 
     Two equi joins, on the template and on (template, slot), whose residual picks the one version covering the set's position.
-    Where the versions' size, counted once they are stored, allows it, both are broadcast and no set moves; else sets are
-    dealt by (template, slot), which spreads one that flaps. No window over the sets, and no pairs of all sets with all versions.
+    Versions should be stored (:func:`flowlake.session.stored`): they are counted, and where they are few both are broadcast and no
+    set moves; else sets are dealt by (template, slot), which spreads one that flaps. There are no more slots than versions,
+    and at most two rows of the second relation for each version and slot. No window over the sets, and no pairs of all sets
+    with all versions.
     """
-    versions = stored(versions)
-    spans, slotted = (small(stored(frame)) for frame in version_slots(versions, keys))
+    spans, slotted = hinted(versions.count(), *version_slots(versions, keys))
     over = [*keys, "template_id"]
     marked = sets.join(spans, over, "left").withColumn("slot", slot_of(F.col("recv_ts"), F.col("msg_id"))).select(*sets.columns, "slot")
     same = [F.col(f"s.{c}") == F.col(f"v.{c}") for c in (*over, "slot")]

@@ -21,7 +21,7 @@ from flowlake.operators import records as r
 from flowlake.operators import sflow as sf
 from flowlake.operators import templates as t
 from flowlake.plans import fixtures as fx
-from flowlake.session import configure, shared_folder
+from flowlake.session import configure, shared_folder, stored
 from flowlake.sources import sinks
 from flowlake.sources.datagrams import DATAGRAM_SCHEMA, read_datagrams, route_by_version
 from flowlake.sources.messages import read_messages
@@ -394,7 +394,7 @@ def _interface_element(fields):
 @query
 def resolve_templates(spark, sf_dir):
     datagrams = _ipfix(spark, sf_dir)
-    versions = t.template_versions(ix.template_table(datagrams))
+    versions = stored(t.template_versions(ix.template_table(datagrams)))
     resolved = t.resolve_templates(t.data_sets(datagrams, t.IPFIX), versions)
     return resolved.select("agent", "msg_id", "template_id", _interface_element("fields"))
 

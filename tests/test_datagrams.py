@@ -2,6 +2,7 @@
 
 import datetime as dt
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from flowlake.operators import netflow9 as n9
 from flowlake.operators import packet
 from flowlake.operators import sflow as sf
 from flowlake.operators import templates as t
+from flowlake.session import stored
 from flowlake.sources import sinks
 from flowlake.sources.datagrams import DATAGRAM_SCHEMA, read_datagrams, route_by_version
 from flowlake.sources.elements import default_elements, load_elements
@@ -284,6 +286,47 @@ def test_small_registry_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan(table)
 
 
+@pytest.mark.parametrize("job", [ix.ipfix_table, ix.ipfix_flow_rows])
+def test_set_bytes_do_not_move(spark, job):
+    """The decoding plan has no exchange but broadcasts: versions, field lists and broken messages go to the sets."""
+    frame = datagrams(spark, [ipfix(fset(2, T256)), ipfix(fset(256, RECORD)), ipfix(fset(256, RECORD), fset(256, RECORD[:5]))])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(job(stored(frame), default_elements(spark)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    moved = [line for line in text.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert len(moved) <= 2 and not any("payload" in line or "body" in line for line in moved)
+    assert "SortMergeJoin" not in text and "Window" not in text
+
+
+def test_flapping_template(spark):
+    """An agent that alternates between two templates 32,000 times: sets meet the versions of their slot only."""
+    two = [T256, template(256, (7, 2), (8, 4))]
+    n = 32_000
+    half = {k: [bytes(ipfix(fset(2, two[k]))), bytes(ipfix(fset(256, RECORD if k == 0 else RECORD[4:] + RECORD[:4])))] for k in (0, 1)}
+    rows = spark.range(2 * n).selectExpr(
+        "'10.0.0.1' AS agent", "'ipfix' AS proto", "timestamp_millis(id div 2 * 37) AS recv_ts", "id AS msg_id",
+        *[f"CASE id % 4 WHEN 0 THEN X'{half[0][0].hex()}' WHEN 1 THEN X'{half[0][1].hex()}' WHEN 2 THEN X'{half[1][0].hex()}' ELSE X'{half[1][1].hex()}' END AS payload"],
+    )
+    began = time.time()
+    versions = stored(t.template_versions(ix.template_table(rows)))
+    spans, slotted = t.version_slots(versions)
+    per_slot = slotted.groupBy("slot").count().agg({"count": "max"}).first()[0]
+    assert versions.count() == n and spans.first().slots > n / 5 and per_slot <= 3 * t.SLOT
+    found = ix.ipfix_table(rows, default_elements(spark)).selectExpr("size(fields) AS n", "fields[0].V AS v", "msg_id")
+    good = found.where("n = 2").selectExpr("count(*) AS n", "count_if(v = IF(msg_id % 4 = 1, '10.0.0.14', '2380')) AS same").first()
+    assert good.n == good.same == n and time.time() - began < 60
+
+
+def test_versions_at_one_time_go_by_message_number(spark):
+    two = [T256, template(256, (7, 2), (8, 4))]
+    messages = [m for k in range(60) for m in (ipfix(fset(2, two[k % 2])), ipfix(fset(256, RECORD if k % 2 == 0 else RECORD[4:] + RECORD[:4])))]
+    frame = datagrams(spark, messages).withColumn("recv_ts", F.lit("2024-01-01").cast("timestamp"))
+    rows = ix.ipfix_table(frame, default_elements(spark)).collect()
+    assert len(rows) == 60 and {next(f.V for f in r.fields if f.I == 8) for r in rows} == {"10.0.0.14"}
+
+
 def test_bad_lines_are_split_off(spark):
     lines = spark.createDataFrame([('{"AgentID":"a","Header":{"ExportTime":1},"DataSets":[[{"I":1,"V":18446744073709551615}]]}',), ("{oops",), (None,)], "value string")
     parsed = m.explode_fields(m.explode_records(m.parse_messages(lines))).collect()
