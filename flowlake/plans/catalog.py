@@ -18,6 +18,7 @@ from flowlake.operators import metrics as mt
 from flowlake.operators import netflow5 as n5
 from flowlake.operators import netflow9 as n9
 from flowlake.operators import records as r
+from flowlake.operators import replay as rp
 from flowlake.operators import sflow as sf
 from flowlake.operators import templates as t
 from flowlake.plans import fixtures as fx
@@ -25,7 +26,7 @@ from flowlake.session import configure, shared_folder, stored
 from flowlake.sources import sinks
 from flowlake.sources.datagrams import DATAGRAM_SCHEMA, read_datagrams, route_by_version
 from flowlake.sources.messages import read_messages
-from flowlake.streaming import jobs
+from flowlake.streaming import decode, jobs
 from flowlake.streaming.templates_state import stream_resolve_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,6 +727,78 @@ def stream_resolve_template_sets(spark, sf_dir):
 QUERIES["stream_resolve_templates"] = QUERIES.pop("stream_resolve_template_sets")
 
 
+def _in_order(spark, datagrams: DataFrame, folder: str) -> DataFrame:
+    """Staged as a stream of two batches, the earlier years first."""
+    early = F.year("recv_ts") < 1998
+    for part in (datagrams.where(early), datagrams.where(~early)):
+        part.repartition(4).write.mode("append").parquet(folder + "/in")
+    return read_datagrams(spark, folder + "/in", stream=True, maxFilesPerTrigger=4)
+
+
+def _stream_records(spark, datagrams: DataFrame, framing, **options) -> str:
+    folder = scratch(spark)
+    stream = _in_order(spark, datagrams, folder)
+    query_ = decode.stream_records(stream, framing, fx.element_dictionary(spark), folder + "/out", folder + "/checkpoint", trigger=None, **options)
+    query_.awaitTermination()
+    return folder + "/out"
+
+
+@query
+def stream_ipfix_records(spark, sf_dir):
+    return _record_fields(spark.read.parquet(_stream_records(spark, _ipfix(spark, sf_dir), t.IPFIX) + "/records"))
+
+
+@query
+def stream_netflow9_records(spark, sf_dir):
+    return _record_fields(spark.read.parquet(_stream_records(spark, fx.netflow9_datagrams(spark, sf_dir), t.NETFLOW9) + "/records"))
+
+
+@query
+def stream_netflow5_flows(spark, sf_dir):
+    folder = scratch(spark)
+    stream = _in_order(spark, fx.netflow5_datagrams(spark, sf_dir), folder)
+    decode.stream_netflow5_flows(stream, folder + "/out", folder + "/checkpoint", trigger=None).awaitTermination()
+    return spark.read.parquet(folder + "/out").select("agent", "msg_id", "flow_ix", *[name for name, _, _ in n5.RECORD_FIELDS])
+
+
+@query
+def stream_sflow_packets(spark, sf_dir):
+    folder = scratch(spark)
+    stream = _in_order(spark, _sflow(spark, sf_dir), folder)
+    decode.stream_sflow_packets(stream, folder + "/out", folder + "/checkpoint", trigger=None).awaitTermination()
+    return spark.read.parquet(folder + "/out").where("l2 IS NOT NULL").select(*_KEY, "l2.*")
+
+
+#: How long a set of the replay rows waits for its template.
+REPLAY_AGE = "365 days"
+
+
+def _replayed(records: DataFrame) -> DataFrame:
+    interface = F.get(F.filter("fields", lambda f: f["I"].isin(10, 14)), F.lit(0))["I"]
+    counted = records.groupBy("agent", "msg_id", "template_id").agg(F.max(interface).alias("interface_element"), F.count("*").alias("records"))
+    return counted.withColumn("verdict", F.lit("resolved"))
+
+
+@query
+def replay_unresolved(spark, sf_dir):
+    """Sets before their template: resolved by the first later announcement, waiting on, or given up."""
+    datagrams, elements = _ipfix(spark, sf_dir), fx.element_dictionary(spark)
+    status = r.set_status(r.resolved_sets(datagrams, t.IPFIX, *r.versions_and_layouts(datagrams, t.IPFIX, elements)), t.IPFIX)
+    now = F.lit(datagrams.agg(F.max("recv_ts")).first()[0])
+    done = rp.replay(stored(rp.waiting_sets(status)), r.announcements(datagrams, t.IPFIX), t.IPFIX, elements, now, REPLAY_AGE)
+    none = [F.lit(None).cast("int").alias("interface_element"), F.lit(0).cast("long").alias("records")]
+    key = ["agent", "msg_id", "template_id"]
+    rest = done.verdicts.select(*key, *none, "verdict").unionByName(done.waiting.select(*key, *none, F.lit("waiting").alias("verdict")))
+    return _replayed(done.records).unionByName(rest)
+
+
+@query
+def stream_replay(spark, sf_dir):
+    """The records of sets that a stream decoded once their template had come, two batches apart or within one."""
+    out = _stream_records(spark, _ipfix(spark, sf_dir), t.IPFIX, max_age=REPLAY_AGE)
+    return _replayed(spark.read.parquet(out + "/replayed")).drop("verdict")
+
+
 @query
 def stream_tee_raw(spark, sf_dir):
     folder = scratch(spark)

@@ -311,6 +311,17 @@ def statements() -> dict[str, str]:
     sql["netflow9_header"] = f"""WITH {TPL} SELECT agent, o_orderkey AS msg_id, 9 AS "Version", 1 + o_orderkey % 3 AS "Count", 357280 AS "SysUpTime",
   epoch(o_orderdate)::BIGINT AS "UNIXSecs", o_orderkey AS "SeqNum", o_custkey % 16 AS "SrcID" FROM msgs"""
     sql["unresolved_report"] = sql["netflow9_report"] = f"WITH {TPL} SELECT agent, tid AS set_id, 'unknown template' AS reason, count(*) AS n FROM known WHERE tpl_msg IS NULL GROUP BY ALL"
+    first = """SELECT o_custkey, o_orderdate AS came, iface FROM msgs WHERE o_orderstatus = 'F'
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"""
+    in_time = "came IS NOT NULL AND came <= k.o_orderdate + INTERVAL 365 DAY"
+    replayed = f"""SELECT agent, o_orderkey AS msg_id, tid AS template_id, CASE WHEN {in_time} THEN f.iface END AS interface_element,
+  CASE WHEN {in_time} THEN 1 + o_orderkey % 3 ELSE 0 END AS records, CASE WHEN {in_time} THEN 'resolved'
+    WHEN k.o_orderdate + INTERVAL 365 DAY < (SELECT max(o_orderdate) FROM msgs) THEN 'template never came' ELSE 'waiting' END AS verdict
+  FROM known k LEFT JOIN ({first}) f USING (o_custkey) WHERE tpl_msg IS NULL"""
+    sql["replay_unresolved"] = f"WITH {TPL} {replayed}"
+    sql["stream_replay"] = f"WITH {TPL} SELECT * EXCLUDE (verdict) FROM ({replayed}) WHERE verdict = 'resolved'"
+    sql["stream_ipfix_records"], sql["stream_netflow9_records"] = sql["ipfix_records"], sql["netflow9_records"]
+    sql["stream_netflow5_flows"] = sql["netflow5_flows"]
     sql["interpret_value"] = f"""WITH r AS (SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) * 1000003 AS v FROM orders), h AS (SELECT *, lpad(lower(to_hex(v)), 16, '0') AS x FROM r)
   SELECT key, unnest(['unsigned64', 'unsigned32', 'unsigned16', 'unsigned8', 'signed64', 'octetArray', 'macAddress', 'boolean', 'ipv4Address', 'ipv6Address', 'dateTimeSeconds']) AS type,
     unnest([v::VARCHAR, (v >> 32)::VARCHAR, (v >> 48)::VARCHAR, (v >> 56)::VARCHAR, v::VARCHAR, '0x' || x,
@@ -367,4 +378,5 @@ def statements() -> dict[str, str]:
     sql["metric_lines"] = f"WITH {STATS} SELECT metric || ',type=' || type || ',host=' || host || ' value=' || value AS value FROM long WHERE value IS NOT NULL"
     sql["metric_points_json"] = f"""WITH {STATS} SELECT '{{"metric":"' || metric || '","timestamp":' || epoch(ts)::BIGINT || ',"value":' || value || ',"tags":{{"host":"' || host || '","type":"' || type || '"}}}}' AS value
   FROM long WHERE value IS NOT NULL"""
+    sql["stream_sflow_packets"] = sql["ethernet_layer"]
     return sql
