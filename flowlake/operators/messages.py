@@ -59,8 +59,8 @@ def explode_fields(records: DataFrame) -> DataFrame:
 
 
 def export_timestamp(messages: DataFrame, proto: str = "ipfix") -> DataFrame:
-    """Adds ``export_time`` (UTC) from the header's epoch seconds."""
-    seconds = F.coalesce(F.col(f"Header.{EXPORT_SECONDS[proto]}"), F.lit(0))
+    """Adds ``export_time`` (UTC) from the message's epoch seconds."""
+    seconds = F.coalesce(F.col(EXPORT_SECONDS[proto]), F.lit(0))
     return messages.withColumn("export_time", F.timestamp_seconds(seconds))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlake.operators.buckets import with_edges
+
 # Metric name, statistics column, kind.
 METRICS = [
     ("udp.rate", "udp_rate", "rate"),
@@ -15,6 +17,7 @@ METRICS = [
     ("mq.queue", "message_queue", "gauge"),
     ("udp.mirror.queue", "udp_mirror_queue", "gauge"),
 ]
+# Metric name, statistics column.
 SYSTEM_METRICS = [
     ("mem.heap.alloc", "MemHeapAlloc"),
     ("mem.alloc", "MemAlloc"),
@@ -23,6 +26,7 @@ SYSTEM_METRICS = [
     ("mem.heap.sys", "MemHeapSys"),
     ("num.goroutine", "NumGoroutine"),
 ]
+# Exposed series, statistics column.
 SERIES = [
     ("decoded_packets", "decoded_count"),
     ("mq_error", "mq_error_count"),
@@ -34,6 +38,10 @@ SERIES = [
 ]
 
 
+#: Counters of a poll, each in a column ``<name>_count``.
+COUNTERS = ["udp", "decoded", "mq_error"]
+
+
 def collector_counters(log: DataFrame) -> DataFrame:
     """Received, decoded and publish errors per host and protocol (map-side partial counts)."""
     return log.groupBy("host", "proto").agg(
@@ -43,21 +51,21 @@ def collector_counters(log: DataFrame) -> DataFrame:
     )
 
 
-def counter_rates(stats: DataFrame) -> DataFrame:
+def counter_rates(stats: DataFrame, bucket: str = "day") -> DataFrame:
     """Per-second rates between one poll and the one before it, by whole-number division.
 
-    A rate needs an earlier poll of the same run: the window is per (host, protocol, start of the
-    run), which makes the first poll and a restart null, and keeps windows as short as runs. No time
-    between the polls, or a counter that fell, is null too.
+    A rate needs an earlier poll of the same run: the history is per (host, protocol, start of the run), which makes the first
+    poll and a restart null. It is cut into time buckets, so a run that never ends spreads over tasks. No time between the
+    polls, or a counter that fell, is null too. Polls at one time follow each other by their counts.
     """
-    run = Window.partitionBy("host", "proto", "start_time").orderBy("ts")
-    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(run))
-    rows = stats.withColumn("gap", gap).withColumns(
-        {
-            f"{name}_gain": F.col(f"{name}_count") - F.lag(f"{name}_count").over(run)
-            for name in ("udp", "decoded", "mq_error")
-        }
-    )
+    run, order = ["host", "proto", "start_time"], ["ts", *[f"{name}_count" for name in COUNTERS]]
+    rows = stats.select("*", F.date_trunc(bucket, "ts").alias("_bucket"))
+    rows = with_edges(rows, run, "_bucket", order)
+    near = Window.partitionBy(*run, "_bucket").orderBy(F.col("edge").desc(), *order)
+    gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(near))
+    rows = rows.withColumn("gap", gap).withColumns(
+        {f"{name}_gain": F.col(f"{name}_count") - F.lag(f"{name}_count").over(near) for name in COUNTERS}
+    ).where("NOT edge")
 
     def rate(name: str):
         usable = (F.col("gap") > 0) & (F.col(f"{name}_gain") >= 0)

@@ -71,7 +71,7 @@ def versions_and_layouts(
 ) -> tuple[DataFrame, DataFrame]:
     """Change points of all templates by the name of their field list, and the dictionary of field lists, ready to slice with."""
     keys = keys_of(datagrams)
-    versions = stored(t.with_layout(t.template_versions(announcements(datagrams, framing, registry), keys)))
+    versions = stored(t.with_layout(t.template_versions(stored(announcements(datagrams, framing, registry)), keys)))
     return versions.drop("fields"), stored(t.layouts(versions, elements, framing.enterprise))
 
 

@@ -58,8 +58,9 @@ COUNTERS = {
 _ITEM = "struct<format:bigint,off:int,len:int>"
 
 
-def _u(position: str, n: int) -> str:
-    return f"CAST(conv(hex(substring(payload, {position} + 1, {n})), 16, 10) AS BIGINT)"
+def u(position: str, n: int, of: str = "payload") -> str:
+    """SQL text: an unsigned number of ``n`` bytes."""
+    return f"CAST(conv(hex(substring({of}, {position} + 1, {n})), 16, 10) AS BIGINT)"
 
 
 def sflow_header(datagrams: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def _walk(count: str, start: str, end: str, sample: bool) -> str:
     def state(pos="a.pos", error="a.error", items="a.items"):
         return f"named_struct('pos', {pos}, 'error', {error}, 'items', {items})"
 
-    kind, size = _u("a.pos", 4), _u("a.pos + 4", 4)
+    kind, size = u("a.pos", 4), u("a.pos + 4", 4)
     item = f"array(named_struct('format', {kind}, 'off', a.pos + 8, 'len', CAST({size} AS INT)))"
     private = f"WHEN {kind} >= 4096 THEN {state(error=chr(39) + 'not a standard sample' + chr(39))}" if sample else ""
     zero = f"named_struct('pos', {start}, 'error', CAST(NULL AS STRING), 'items', CAST(array() AS array<{_ITEM}>))"
@@ -107,12 +108,12 @@ def _walk(count: str, start: str, end: str, sample: bool) -> str:
 
 def _record_check(record: str) -> str:
     """SQL text: why a flow record is bad, or null."""
-    size = _u(f"{record}.off + 12", 4)
+    size = u(f"{record}.off + 12", 4)
     header = f"substring(payload, {record}.off + 17, CAST({size} AS INT))"
     offset, kind = network_place("p.header", "p.protocol")
     packet = packet_error("q.header", "q.protocol", "q.at", "q.kind")
     packed = (
-        f"transform(array(named_struct('header', {header}, 'protocol', {_u(f'{record}.off', 4)})), "
+        f"transform(array(named_struct('header', {header}, 'protocol', {u(f'{record}.off', 4)})), "
         f"p -> named_struct('header', p.header, 'protocol', p.protocol, 'at', {offset}, 'kind', {kind}))"
     )
     return (
@@ -137,12 +138,8 @@ def sflow_samples(datagrams: DataFrame, exclude_types: list[int] | None = None,
     Excluded and unknown sample types are skipped unread. ``drop_datagram``: one bad sample spoils
     its datagram. ``keep_samples``: only the bad samples go.
     """
-    if on_error not in ("drop_datagram", "keep_samples"):
-        raise ValueError(f"on_error must be 'drop_datagram' or 'keep_samples', not {on_error!r}")
     keep = [c for c in ("agent", "recv_ts", "msg_id") if c in datagrams.columns]
-    rows = _checked(datagrams, exclude_types)
-    if on_error == "drop_datagram":
-        rows = rows.where("datagram_error IS NULL")
+    rows = checked_samples(datagrams, exclude_types, on_error)
     samples = rows.select(*keep, *HEADER, "payload", F.posexplode("samples").alias("sample_ix", "s"))
     return samples.where("s.error IS NULL").select(
         *keep, *HEADER, "payload", "sample_ix",
@@ -151,6 +148,14 @@ def sflow_samples(datagrams: DataFrame, exclude_types: list[int] | None = None,
     )
 
 
+def checked_samples(datagrams: DataFrame, exclude_types: list[int] | None, on_error: str) -> DataFrame:
+    """Datagrams with their ``samples``, without those that a bad sample spoils."""
+    if on_error not in ("drop_datagram", "keep_samples"):
+        raise ValueError(f"on_error must be 'drop_datagram' or 'keep_samples', not {on_error!r}")
+    rows = _checked(datagrams, exclude_types)
+    return rows.where("datagram_error IS NULL") if on_error == "drop_datagram" else rows
+
+
 def sflow_rejects(datagrams: DataFrame, exclude_types: list[int] | None = None) -> DataFrame:
     """One row per datagram that yields nothing, with the first reason."""
     payload, size = F.col("payload"), F.length("payload")
@@ -168,7 +173,7 @@ def _checked(datagrams: DataFrame, exclude_types: list[int] | None) -> DataFrame
     wanted = [n for n in (FLOW_SAMPLE, COUNTER_SAMPLE) if n not in (exclude_types or [])]
     chosen = f"filter(walk.items, s -> s.format IN ({', '.join(map(str, wanted)) or '-1'}))"
     head = f"IF(s.format = {FLOW_SAMPLE}, {FLOW_SAMPLE_BYTES}, {COUNTER_SAMPLE_BYTES})"
-    number = f"IF(s.format = {FLOW_SAMPLE}, {_u('s.off + 28', 4)}, {_u('s.off + 8', 4)})"
+    number = f"IF(s.format = {FLOW_SAMPLE}, {u('s.off + 28', 4)}, {u('s.off + 8', 4)})"
     records = _walk(number, f"(s.off + {head})", "(s.off + s.len)", sample=False)
     walked = f"""transform({chosen}, s -> named_struct('format', s.format, 'off', s.off, 'len', s.len, 'walk',
         IF(s.len < {head}, named_struct('pos', 0, 'error', 'cut short', 'items', CAST(array() AS array<{_ITEM}>)), {records})))"""
@@ -208,24 +213,40 @@ def sflow_flow_samples(samples: DataFrame) -> DataFrame:
     )
 
 
+def switch_fields(payload: Column, at: Column) -> Column:
+    names = ("SrcVlan", "SrcPriority", "DstVlan", "DstPriority")
+    return F.struct(*[b.u32(payload, at + 4 * i).alias(name) for i, name in enumerate(names)])
+
+
+def router_fields(payload: Column, at: Column, length: Column) -> Column:
+    size = length - 12
+    return F.struct(
+        b.ip_text(b.cut(payload, at + 4, size)).alias("NextHop"),
+        b.u32(payload, at + 4 + size).alias("SrcMask"),
+        b.u32(payload, at + 8 + size).alias("DstMask"),
+    )
+
+
+def counter_fields(payload: Column, at: Column, kind: str) -> list[Column]:
+    """The words of one counter kind."""
+    fields, offset = [], 0
+    for name, width in COUNTERS[kind][1]:
+        read = b.u32 if width == 4 else b.u64
+        fields.append(read(payload, at + offset).alias(name))
+        offset += width
+    return fields
+
+
 def sflow_ext_switch(flow_samples: DataFrame) -> DataFrame:
     """Adds ``ext_switch``: VLAN and priority on both sides."""
-    at = F.col("_switch.off")
-    struct = F.struct(
-        *[b.u32(F.col("payload"), at + 4 * i).alias(n) for i, n in enumerate(("SrcVlan", "SrcPriority", "DstVlan", "DstPriority"))]
-    )
+    struct = switch_fields(F.col("payload"), F.col("_switch.off"))
     rows = flow_samples.withColumn("_switch", _record(EXT_SWITCH))
     return rows.withColumn("ext_switch", F.when(F.col("_switch").isNotNull(), struct)).drop("_switch")
 
 
 def sflow_ext_router(flow_samples: DataFrame) -> DataFrame:
     """Adds ``ext_router``: next hop (its size is what the record leaves) and masks."""
-    payload, at, size = F.col("payload"), F.col("_router.off"), F.col("_router.len") - 12
-    struct = F.struct(
-        b.ip_text(b.cut(payload, at + 4, size)).alias("NextHop"),
-        b.u32(payload, at + 4 + size).alias("SrcMask"),
-        b.u32(payload, at + 8 + size).alias("DstMask"),
-    )
+    struct = router_fields(F.col("payload"), F.col("_router.off"), F.col("_router.len"))
     rows = flow_samples.withColumn("_router", _record(EXT_ROUTER))
     return rows.withColumn("ext_router", F.when(F.col("_router").isNotNull(), struct)).drop("_router")
 
@@ -270,14 +291,8 @@ def sflow_counter_samples(samples: DataFrame) -> DataFrame:
 
 def sflow_counters(samples: DataFrame, kind: str) -> DataFrame:
     """One row per counter record of one kind, with the fields of that kind."""
-    number, words = COUNTERS[kind]
-    rows = sflow_counter_samples(samples).where(F.col("record.format") == number)
-    at = F.col("record.off")
-    fields, offset = [], 0
-    for name, width in words:
-        read = b.u32 if width == 4 else b.u64
-        fields.append(read(F.col("payload"), at + offset).alias(name))
-        offset += width
+    rows = sflow_counter_samples(samples).where(F.col("record.format") == COUNTERS[kind][0])
+    fields = counter_fields(F.col("payload"), F.col("record.off"), kind)
     keep = [c for c in rows.columns if c not in ("payload", "record")]
     return rows.select(*keep, *fields)
 

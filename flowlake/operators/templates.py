@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowlake.functions import bytes as b
 from flowlake.functions.columns import settle
 from flowlake.functions.values import kind_of, width_of
+from flowlake.operators.buckets import with_edges
 from flowlake.session import stored
 
 SPECIFIER = "struct<element_id:int,length:int,enterprise:bigint,scope:boolean>"
@@ -261,25 +262,21 @@ def known_template_ids(registry: DataFrame) -> DataFrame:
 def template_versions(announcements: DataFrame, keys: tuple[str, ...] = ("agent",), bucket: str = "hour") -> DataFrame:
     """Change points: every template with the stretch of positions in which it is valid.
 
-    Exporters repeat their templates all the time. Repeats are dropped in two steps, first
-    inside (agent, id, time bucket) and then per (agent, id), so the second, unbounded-in-time
-    window sees one row per bucket and real change only. ``valid_to`` is null for the newest.
+    Exporters repeat their templates all the time, and some change them all the time. Repeats are dropped inside (agent, id, time
+    bucket) against the row before, which for the first row of a bucket is the last one of the bucket before; where a
+    version ends is found likewise. So no task sees more of one template than a bucket, or one row per bucket. ``valid_to`` is
+    null for the newest.
     """
-    within = Window.partitionBy(*keys, "template_id", "bucket").orderBy(*ORDER, "rec_ix")
-    across = Window.partitionBy(*keys, "template_id").orderBy("valid_from", "rec_ix")
-
-    def changes(frame: DataFrame, window) -> DataFrame:
-        previous = F.lag("fields").over(window)
-        return frame.withColumn("same", F.coalesce(previous == F.col("fields"), F.lit(False))).where(~F.col("same")).drop("same")
-
-    rows = announcements.select(*keys, "template_id", *ORDER, "rec_ix", "fields").withColumn(
-        "bucket", F.date_trunc(bucket, "recv_ts")
-    )
-    fewer = changes(rows, within).select(*keys, "template_id", _position(ORDER).alias("valid_from"), "rec_ix", "fields")
-    few = changes(fewer, across)
-    versions = few.withColumn("valid_to", F.lead("valid_from").over(across))
+    key = [*keys, "template_id"]
+    near = Window.partitionBy(*key, "bucket").orderBy("valid_from", "rec_ix")
+    rows = announcements.select(*key, _position(ORDER).alias("valid_from"), "rec_ix", "fields", F.date_trunc(bucket, "recv_ts").alias("bucket"))
+    same = F.coalesce(F.lag("fields").over(near) == F.col("fields"), F.lit(False))
+    changes = with_edges(rows, key, "bucket", ["valid_from", "rec_ix"]).withColumn("same", same).where("NOT same AND NOT edge").drop("same", "edge")
+    ends = with_edges(changes, key, "bucket", ["valid_from", "rec_ix"], after=True)
+    versions = ends.withColumn("valid_to", F.lead("valid_from").over(near)).where("NOT edge")
     # of two templates for one id in one set only the last can apply
-    return versions.where(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to"))).drop("rec_ix")
+    versions = versions.where(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
+    return versions.select(*key, "valid_from", "fields", "valid_to")
 
 
 def with_layout(versions: DataFrame) -> DataFrame:

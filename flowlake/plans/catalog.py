@@ -20,6 +20,7 @@ from flowlake.operators import netflow9 as n9
 from flowlake.operators import records as r
 from flowlake.operators import replay as rp
 from flowlake.operators import sflow as sf
+from flowlake.operators import sflow_messages as sm
 from flowlake.operators import templates as t
 from flowlake.plans import fixtures as fx
 from flowlake.session import configure, shared_folder, stored
@@ -610,6 +611,44 @@ for _name, _layer in [
 ]:
     _layer_query(_name, _layer)
 
+
+
+def _sflow_json(spark, sf_dir):
+    """Messages encoded as JSON text and parsed again."""
+    lines = m.encode_struct(sm.sflow_messages(_sflow(spark, sf_dir)).drop("recv_ts"), sm.MESSAGE)
+    return m.export_timestamp(m.parse_messages(lines, "sflow"), "sflow")
+
+
+@query
+def sflow_messages(spark, sf_dir):
+    """Every sample of the messages with the fields of its packet and of its extensions."""
+    keys = [*_KEY, "export_time", "IPAddress", "SamplesNo", F.size("Counters").alias("counters")]
+    rows = _sflow_json(spark, sf_dir).select(*keys, F.explode("Samples").alias("s"))
+    packet = F.col("s.Records.RawHeader")
+    return rows.select(
+        *_KEY, "export_time", "IPAddress", "SamplesNo", "counters", "s.SequenceNo", "s.SourceID", "s.SamplingRate", "s.SamplePool",
+        "s.Drops", "s.Input", "s.Output", "s.RecordsNo", packet["L2"]["SrcMAC"].alias("SrcMAC"), packet["L2"]["Vlan"].alias("Vlan"),
+        packet["L3"]["Version"].alias("IPv"), packet["L3"]["Src"].alias("Src"), packet["L3"]["Dst"].alias("Dst"),
+        packet["L3"]["TotalLen"].alias("TotalLen"), packet["L3"]["PayloadLen"].alias("PayloadLen"),
+        F.coalesce(packet["L3"]["Protocol"], packet["L3"]["NextHeader"]).alias("ip_protocol"),
+        packet["L4"]["SrcPort"].alias("SrcPort"), packet["L4"]["DstPort"].alias("DstPort"), packet["L4"]["Flags"].alias("Flags"),
+        packet["L4"]["Code"].alias("Code"), b.hex_text(packet["L4"]["RestHeader"]).alias("RestHeader"),
+        "s.Records.ExtSwitch.*", "s.Records.ExtRouter.*",
+    )
+
+
+@query
+def parse_sflow_messages(spark, sf_dir):
+    """Every word of the messages' counter records."""
+    rows = _sflow_json(spark, sf_dir).select(*_KEY, F.explode("Counters").alias("c"))
+    keys = [*_KEY, F.col("c.SourceIDIdx").alias("source_index")]
+    words = [
+        F.struct(F.lit(tag).alias("tag"), F.lit(name).alias("word"), F.col(f"c.Records.{tag}.{name}").cast("bigint").alias("n"))
+        for kind, tag in sm.COUNTER_TAGS.items() for name, _ in sf.COUNTERS[kind][1]
+    ]
+    return rows.select(*keys, F.inline(F.array(*words))).where("n IS NOT NULL")
+
+
 # ------------------------------------------------------------------ collector statistics
 
 

@@ -179,6 +179,20 @@ def _counter_sql(kind: str) -> str:
   {columns} FROM good WHERE l_linenumber % 6 = {place % 6}"""
 
 
+_KINDS = {"generic": "GenInt", "ethernet": "EthInt", "tokenring": "TRInt", "vg": "VGInt", "vlan": "Vlan", "processor": "Proc"}
+
+
+def _counter_words_sql(place: int, kind: str) -> str:
+    """Every word of one counter kind as a row."""
+    from flowlake.operators.sflow import COUNTERS
+
+    words = ", ".join(
+        f"ROW('{name}', cents {'' if width == 4 else '* 1000 '}+ {i})" for i, (name, width) in enumerate(COUNTERS[kind][1])
+    )
+    return f"""SELECT {_SF_KEY}, source_index, tag, unnest(w).word AS word, unnest(w).n AS n FROM (SELECT {_SF_KEY}, l_partkey AS source_index,
+  '{_KINDS[kind]}' AS tag, [{words}]::STRUCT(word VARCHAR, n BIGINT)[] AS w FROM good WHERE l_linenumber % 6 = {place % 6})"""
+
+
 # ------------------------------------------------------------------ collector statistics
 
 _EV = """ev AS (SELECT 'host' || user_id % 8 AS host, CASE event_type WHEN 'view' THEN 'sflow' WHEN 'purchase' THEN 'netflowv5'
@@ -361,6 +375,17 @@ def statements() -> dict[str, str]:
     sql["tcp_layer"] = f"""WITH {SF} SELECT {_SF_KEY}, sp AS "SrcPort", dp AS "DstPort", 5 AS "DataOffset", 0 AS "Reserved", 256 + l_linenumber AS "Flags" FROM good WHERE ip_proto = 6"""
     sql["udp_layer"] = f"""WITH {SF} SELECT {_SF_KEY}, sp AS "SrcPort", dp AS "DstPort" FROM good WHERE ip_proto = 17"""
     sql["icmp_layer"] = f"""WITH {SF} SELECT {_SF_KEY}, 8 AS "Type", qty AS "Code", '0x' || lpad(lower(to_hex(l_partkey)), 8, '0') AS "RestHeader" FROM good WHERE ip_proto IN (1, 58)"""
+    six_or_four = lambda prefix6, prefix4, key: f"CASE WHEN six THEN {_six(prefix6, f'({key} + 1)')} ELSE {_addr(prefix4, key)} END"
+    sql["sflow_messages"] = f"""WITH {SF} SELECT {_SF_KEY}, l_shipdate::TIMESTAMP AS export_time, CASE WHEN l_linestatus = 'O' THEN {agent6} ELSE agent END AS "IPAddress",
+  CASE WHEN strange THEN 3 ELSE 2 END AS "SamplesNo", 1 AS counters, l_orderkey AS "SequenceNo", 1 AS "SourceID", 4096 AS "SamplingRate", cents AS "SamplePool",
+  qty AS "Drops", 536 AS "Input", 728 AS "Output", 3 AS "RecordsNo", CASE WHEN raw THEN '' ELSE '02:02:' || {_hex_pairs('l_suppkey')} END AS "SrcMAC",
+  CASE WHEN NOT raw AND l_linestatus = 'F' THEN 8192 + qty ELSE 0 END AS "Vlan", CASE WHEN six THEN 6 ELSE 4 END AS "IPv",
+  {six_or_four('2001:db8::', '192.168', 'l_suppkey')} AS "Src", {six_or_four('2001:db8:1::', '172.16', 'l_partkey')} AS "Dst",
+  CASE WHEN NOT six THEN qty + 40 END AS "TotalLen", CASE WHEN six THEN qty + 40 END AS "PayloadLen", ip_proto AS ip_protocol,
+  CASE WHEN ip_proto IN (6, 17) THEN sp END AS "SrcPort", CASE WHEN ip_proto IN (6, 17) THEN dp END AS "DstPort", CASE ip_proto WHEN 6 THEN 256 + l_linenumber END AS "Flags",
+  CASE WHEN ip_proto IN (1, 58) THEN qty END AS "Code", CASE WHEN ip_proto IN (1, 58) THEN '0x' || lpad(lower(to_hex(l_partkey)), 8, '0') END AS "RestHeader",
+  qty AS "SrcVlan", 1 AS "SrcPriority", qty + 1 AS "DstVlan", 2 AS "DstPriority", {_addr('10.255', 'l_suppkey')} AS "NextHop", 24 AS "SrcMask", 16 AS "DstMask" FROM good"""
+    sql["parse_sflow_messages"] = f"WITH {SF} " + " UNION ALL ".join(_counter_words_sql(place, kind) for place, kind in enumerate(_KINDS, 1))
     sql["tee_raw"] = sql["stream_tee_raw"] = f"""SELECT family, agent, count(*) AS n FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'ipv6' ELSE 'ipv4' END AS family,
   CASE WHEN l_linestatus = 'O' THEN {agent6} ELSE {_agent('l_suppkey')} END AS agent FROM lineitem) GROUP BY ALL"""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from flowlake.operators.sflow import COUNTERS
+from flowlake.operators.sflow_messages import COUNTER_TAGS
+
 FIELD = "struct<I:int,V:string,E:bigint>"
 
 IPFIX_MESSAGE = f"""
@@ -29,7 +32,14 @@ NETFLOW5_MESSAGE = f"""
     Flows array<{NETFLOW5_FLOW}>
 """
 
-SFLOW_MESSAGE = """
+def _counter_record(kind: str) -> str:
+    words = ",".join(f"{name}:{'bigint' if width == 4 else 'decimal(20,0)'}" for name, width in COUNTERS[kind][1])
+    return f"{COUNTER_TAGS[kind]}:struct<{words}>"
+
+
+_COUNTERS = ",".join(_counter_record(kind) for kind in COUNTER_TAGS)
+
+SFLOW_MESSAGE = f"""
     Version bigint, IPVersion bigint, AgentSubID bigint, SequenceNo bigint, SysUpTime bigint, SamplesNo bigint,
     Samples array<struct<SequenceNo:bigint,SourceID:int,SamplingRate:bigint,SamplePool:bigint,Drops:bigint,
         Input:bigint,Output:bigint,RecordsNo:bigint,
@@ -39,9 +49,11 @@ SFLOW_MESSAGE = """
                 L3:struct<Version:int,TOS:int,TotalLen:int,ID:int,Flags:int,FragOff:int,TTL:int,Protocol:int,
                           Checksum:int,TrafficClass:int,FlowLabel:int,PayloadLen:int,NextHeader:int,HopLimit:int,
                           Src:string,Dst:string>,
-                L4:struct<SrcPort:int,DstPort:int,DataOffset:int,Reserved:int,Flags:int,Type:int,Code:int,RestHeader:string>>,
+                L4:struct<SrcPort:int,DstPort:int,DataOffset:int,Reserved:int,Flags:int,Type:int,Code:int,RestHeader:binary>>,
             ExtSwitch:struct<SrcVlan:bigint,SrcPriority:bigint,DstVlan:bigint,DstPriority:bigint>,
             ExtRouter:struct<NextHop:string,SrcMask:bigint,DstMask:bigint>>>>,
+    Counters array<struct<SequenceNo:bigint,SourceIDType:int,SourceIDIdx:int,RecordsNo:bigint,
+        Records:struct<{_COUNTERS}>>>,
     IPAddress string, ColTime bigint
 """
 
@@ -52,5 +64,5 @@ MESSAGES = {
     "sflow": SFLOW_MESSAGE,
 }
 
-#: Header field that holds the export time in seconds, per protocol.
-EXPORT_SECONDS = {"ipfix": "ExportTime", "netflowv9": "UNIXSecs", "netflowv5": "UNIXSecs"}
+#: Field that holds the export time in seconds, per protocol; sFlow messages have the time of their arrival.
+EXPORT_SECONDS = {"ipfix": "Header.ExportTime", "netflowv9": "Header.UNIXSecs", "netflowv5": "Header.UNIXSecs", "sflow": "ColTime"}

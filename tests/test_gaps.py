@@ -12,10 +12,12 @@ from flowlake import session
 from flowlake.functions.values import interpret_value
 from flowlake.operators import ipfix as ix
 from flowlake.operators import messages as m
+from flowlake.operators import metrics as mt
 from flowlake.operators import netflow9 as n9
 from flowlake.operators import packet
 from flowlake.operators import records as rc
 from flowlake.operators import sflow as sf
+from flowlake.operators import sflow_messages as sm
 from flowlake.operators import templates as t
 from flowlake.sources import sinks
 from flowlake.sources.elements import default_elements, load_elements
@@ -192,3 +194,60 @@ def test_scratch_must_be_shared():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.shared_folder(Conf(folders | {"spark.master": master}))
+
+
+def test_sflow_messages(spark):
+    """Records that a sample lacks are absent, bad and excluded samples are left out, and nothing is shuffled."""
+    switch = tagged(1001, struct.pack(">4I", 7, 1, 8, 2))
+    counters = tagged(2, struct.pack(">3I", 5, 9, 1) + tagged(5, struct.pack(">IQ4I", 3, 2**63 + 1, 1, 2, 3, 4)))
+    plain, arp = flow_sample(raw_header(ETHERNET + IPV4 + UDP), switch), flow_sample(raw_header(b"\x00" * 12 + b"\x08\x06" + b"\x00" * 40))
+    frame = datagrams(spark, [sflow(plain, counters), sflow(arp, counters), sflow(flow_sample()), sflow(tagged(99, b"\x00" * 4))], "sflow")
+
+    def lines(**options):
+        messages = sm.sflow_messages(frame, **options)
+        assert "Exchange" not in messages._jdf.queryExecution().toString()
+        return {row.msg_id: row.value for row in m.encode_struct(messages, sm.MESSAGE).collect()}
+
+    found = {k: json.loads(v) for k, v in lines().items()}
+    assert sorted(found) == [0, 2]  # the ARP frame spoils its datagram, the last one has no sample of a known format
+    first = found[0]
+    assert list(first) == sm.MESSAGE and sorted(first["Samples"][0]["Records"]) == ["ExtSwitch", "RawHeader"]
+    assert sorted(first["Samples"][0]["Records"]["RawHeader"]["L4"]) == ["DstPort", "SrcPort"]
+    assert first["Counters"][0]["Records"] == {
+        "Vlan": {"ID": 3, "Octets": 2**63 + 1, "UnicastPackets": 1, "MulticastPackets": 2, "BroadcastPackets": 3, "Discards": 4}
+    }
+    assert found[2]["Samples"][0]["Records"] == {} and found[2]["Counters"] == []
+    kept = {k: json.loads(v) for k, v in lines(on_error="keep_samples").items()}
+    assert sorted(kept) == [0, 1, 2] and kept[1]["Samples"] == [] and len(kept[1]["Counters"]) == 1
+    assert sorted(lines(exclude_types=[2])) == [0, 2] and sorted(lines(exclude_types=[1])) == [0, 1]
+    parsed = m.parse_messages(spark.createDataFrame([(lines()[0],)], "value string"), "sflow").first()
+    assert parsed.Counters[0].Records.Vlan.Octets == 2**63 + 1 and parsed.Samples[0].Records.ExtRouter is None
+
+
+@pytest.mark.parametrize("bucket", ["minute", "day", "year"])
+def test_rates_do_not_depend_on_buckets(spark, bucket):
+    """Gaps of many buckets, restarts, repeated times and null times; against one loop over each run."""
+    polls = [("a", "ipfix", 0, s, s * 3, s * 2, s // 5) for s in (0, 10, 10, 70, 4000, 90000, 90010, 500000)]
+    polls += [("a", "ipfix", 1, 500001 + s, 5 * s, s, 0) for s in (0, 3, 7)] + [("a", "ipfix", 1, 500009, 1, 1, 0), ("b", "sflow", 0, None, 4, 4, 4), ("b", "sflow", 0, 5, 9, 9, 9)]
+    rows = spark.createDataFrame(polls, "host string, proto string, start_time bigint, s bigint, udp_count bigint, decoded_count bigint, mq_error_count bigint")
+    got = mt.counter_rates(rows.withColumn("ts", F.timestamp_seconds("s")).repartition(5), bucket).collect()
+    want, before = [], {}
+    for host, proto, start, s, *counts in sorted(polls, key=lambda p: (p[:3], -1 if p[3] is None else p[3], p[4:])):
+        last, held = before.get((host, proto, start), (None, None))
+        gap = None if None in (last, s) else s - last
+        rates = [None if not gap or n < h else (n - h) // gap for n, h in zip(counts, held or counts, strict=True)]
+        want.append((host, start, s, *counts, *rates))
+        before[host, proto, start] = s, counts
+    key = lambda row: tuple((x is None, x) for x in row)
+    assert sorted(((r.host, r.start_time, r.s, r.udp_count, r.decoded_count, r.mq_error_count, r.udp_rate, r.decode_rate, r.mq_error_rate) for r in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("bucket", ["minute", "hour", "year"])
+def test_versions_do_not_depend_on_buckets(spark, bucket):
+    """Repeats inside and across buckets, buckets that hold only repeats, and changes at their edges."""
+    seen = [(0, "x"), (10, "x"), (65, "x"), (200, "y"), (230, "x"), (300, "x"), (4000, "x"), (7300, "y"), (7300, "z"), (90000, "z"), (200000, "x")]
+    rows = [("e", 256, s, i, 0, 0, kind) for i, (s, kind) in enumerate(seen)] + [(None, 257, 5, 99, 0, 0, "x"), (None, 257, 9000, 100, 0, 0, "y")]
+    frame = spark.createDataFrame(rows, "agent string, template_id int, s bigint, msg_id bigint, set_ix int, rec_ix int, kind string")
+    frame = frame.withColumns({"recv_ts": F.timestamp_seconds("s"), "fields": F.array("kind")}).drop("s", "kind").repartition(4)
+    got = {(v.agent, v.valid_from.msg_id, v.fields[0], v.valid_to and v.valid_to.msg_id) for v in t.template_versions(frame, bucket=bucket).collect()}
+    assert got == {("e", 0, "x", 3), ("e", 3, "y", 4), ("e", 4, "x", 7), ("e", 7, "y", 8), ("e", 8, "z", 10), ("e", 10, "x", None), (None, 99, "x", 100), (None, 100, "y", None)}
