@@ -333,7 +333,9 @@ def union_flows(spark, sf_dir):
         fl.pivot_flow(records.withColumn("exporter", F.col("AgentID")), keep=["exporter"]), agent="exporter"
     )
     packets = fl.sflow_to_flow(sf.sflow_packet_table(fx.sflow_datagrams(spark, sf_dir)))
-    return fl.union_flows(v5, json, packets).select("protocol", "agent", "flow_time", "src", "dst", "bytes", "tcp_flags")
+    nine = r.flow_table(fx.netflow9_datagrams(spark, sf_dir), t.NETFLOW9, fx.element_dictionary(spark), reduced_size="widen")
+    nine = fl.ipfix_to_flow(nine, agent="agent", protocol="netflowv9")
+    return fl.union_flows(v5, json, packets, nine).select("protocol", "agent", "flow_time", "src", "dst", "bytes", "tcp_flags")
 
 
 # ------------------------------------------------------------------ IPFIX and NetFlow v9
@@ -723,6 +725,28 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(folder + "/flows")
 
 
+@query
+def append_once(spark, sf_dir):
+    """Two streams into one catalog table; each runs twice from its start, as after a lost checkpoint."""
+    folder = scratch(spark)
+    table = "flows_" + uuid.uuid4().hex
+    flows = fl.pivot_flow(_flow_records(spark, sf_dir))
+    tcp = F.col("protocolIdentifier") == 6
+    for name, part in (("tcp", flows.where(tcp)), ("other", flows.where(~tcp))):
+        stream = _staged_stream(spark, part.repartition(6), f"{folder}/in-{name}")
+        for run in range(2):
+            jobs.stream_append(stream, folder + "/flows", f"{folder}/checkpoint-{name}-{run}", name, table, trigger=None).awaitTermination()
+    return spark.table(table).drop("batch")
+
+
+@query
+def stream_collector_counters(spark, sf_dir):
+    folder = scratch(spark)
+    log = _staged_stream(spark, fx.datagram_log(spark, sf_dir), folder + "/in", 4)
+    jobs.stream_counters(log, folder + "/counted", folder + "/checkpoint", trigger=None).awaitTermination()
+    return jobs.total_counters(spark.read.parquet(folder + "/counted"))
+
+
 @query
 def stream_rates(spark, sf_dir):
     """Update mode: a batch writes the windows it changed, and the largest count of a window is its last."""

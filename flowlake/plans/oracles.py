@@ -235,7 +235,7 @@ def statements() -> dict[str, str]:
     )
     sql["pivot_flow_tsv"] = sql["write_tsv"] = f"WITH {LINE_LEGS} SELECT {TSV} FROM legs"
     sql["pivot_flow_asn"] = sql["append_flows_by_date"] = f"WITH {LINE_LEGS} SELECT {ASN} FROM legs"
-    sql["append_flows"] = sql["stream_ingest"] = full
+    sql["append_flows"] = sql["stream_ingest"] = sql["append_once"] = full
     sql["parse_messages"] = sql["read_messages"] = f"""SELECT {_agent('o_custkey')} AS agent, 10 AS version, l_orderkey AS seq, o_custkey % 16 AS domain,
   epoch(o_orderdate)::BIGINT AS export_seconds, 1 + l_linenumber % 3 AS records FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
     sql["explode_records"] = f"""WITH {LINE_FIELDS} SELECT agent, l_orderkey AS seq, leg AS record_ix, count(*) AS fields,
@@ -322,6 +322,8 @@ def statements() -> dict[str, str]:
     # the IPv6 source comes after the IPv4 one and counts
     six = _six("2001:db8::", "(64512 + o_custkey % 1000 + leg)")
     sql["netflow9_flow_table"] = sql["ipfix_flow_table_widened"].replace('CASE WHEN leg = 1 THEN dst4 ELSE src4 END AS "sourceIPAddress"', f'{six} AS "sourceIPAddress"')
+    sql["union_flows"] += f""" UNION ALL SELECT 'netflowv9', agent, "exportTime", "sourceIPAddress", "destinationIPAddress", "octetDeltaCount", "tcpControlBits"
+  FROM ({sql['netflow9_flow_table']})"""
     sql["netflow9_header"] = f"""WITH {TPL} SELECT agent, o_orderkey AS msg_id, 9 AS "Version", 1 + o_orderkey % 3 AS "Count", 357280 AS "SysUpTime",
   epoch(o_orderdate)::BIGINT AS "UNIXSecs", o_orderkey AS "SeqNum", o_custkey % 16 AS "SrcID" FROM msgs"""
     sql["unresolved_report"] = sql["netflow9_report"] = f"WITH {TPL} SELECT agent, tid AS set_id, 'unknown template' AS reason, count(*) AS n FROM known WHERE tpl_msg IS NULL GROUP BY ALL"
@@ -390,7 +392,7 @@ def statements() -> dict[str, str]:
   CASE WHEN l_linestatus = 'O' THEN {agent6} ELSE {_agent('l_suppkey')} END AS agent FROM lineitem) GROUP BY ALL"""
 
     # collector statistics
-    sql["collector_counters"] = f"WITH {_EV} SELECT host, proto, count(*) AS udp_count, count(*) FILTER (decoded) AS decoded_count, count(*) FILTER (err) AS mq_error_count FROM ev GROUP BY ALL"
+    sql["collector_counters"] = sql["stream_collector_counters"] = f"WITH {_EV} SELECT host, proto, count(*) AS udp_count, count(*) FILTER (decoded) AS decoded_count, count(*) FILTER (err) AS mq_error_count FROM ev GROUP BY ALL"
     sql["counter_rates"] = f"WITH {STATS} SELECT * FROM rates"
     sql["message_rate"] = sql["stream_rates"] = f"WITH {_EV} SELECT {_SECOND} AS window_start, part AS partition, count(*) AS n, count(*) // 10 AS rate FROM ev GROUP BY ALL"
     sql["gauges_latest"] = f"WITH {STATS} SELECT host, proto, ts, udp_queue, message_queue, udp_mirror_queue, workers FROM latest"

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowlake.operators import flows as fl
 from flowlake.operators import messages as m
-from flowlake.operators.metrics import message_rate
+from flowlake.operators.metrics import COUNTERS, collector_counters, message_rate
 from flowlake.sources import sinks
 
 
@@ -34,6 +34,36 @@ def stream_ingest(lines: DataFrame, path: str, checkpoint: str, proto: str = "ip
     return start(flow_stream(lines, proto, profile), checkpoint, trigger, path=path)
 
 
+def stream_append(
+    flows: DataFrame, path: str, checkpoint: str, name: str, table: str | None = None, fmt: str = "parquet",
+    layout: str | None = None, trigger: str | None = "20 seconds",
+) -> StreamingQuery:
+    """Flow rows to a table that other jobs write and read as well. ``name`` and the batch number make each batch count once."""
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        sinks.append_flows(batch, path, fmt, layout, table, batch=f"{name}-{epoch}")
+
+    return start(flows, checkpoint, trigger, sink=append)
+
+
+def stream_counters(log: DataFrame, path: str, checkpoint: str, trigger: str | None = "20 seconds") -> StreamingQuery:
+    """Collector counters of each batch of received datagrams, in a folder of its number, overwritten when it is repeated.
+
+    Counters need no state: :func:`total_counters` adds the batches up.
+    """
+
+    def count(batch: DataFrame, epoch: int) -> None:
+        collector_counters(batch).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return start(log, checkpoint, trigger, sink=count)
+
+
+def total_counters(counted: DataFrame) -> DataFrame:
+    """The counters so far, of what :func:`stream_counters` wrote."""
+    sums = [F.sum(f"{name}_count").alias(f"{name}_count") for name in COUNTERS]
+    return counted.groupBy("host", "proto").agg(*sums)
+
+
 def stream_rates(messages: DataFrame, window: str = "10 seconds", lateness: str = "1 minute", time: str = "ts", partition: str = "partition") -> DataFrame:
     """Message rates on a stream; a window closes once the watermark has passed it."""
     return message_rate(messages.withWatermark(time, lateness), window, time, partition)

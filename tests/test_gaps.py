@@ -251,3 +251,53 @@ def test_versions_do_not_depend_on_buckets(spark, bucket):
     frame = frame.withColumns({"recv_ts": F.timestamp_seconds("s"), "fields": F.array("kind")}).drop("s", "kind").repartition(4)
     got = {(v.agent, v.valid_from.msg_id, v.fields[0], v.valid_to and v.valid_to.msg_id) for v in t.template_versions(frame, bucket=bucket).collect()}
     assert got == {("e", 0, "x", 3), ("e", 3, "y", 4), ("e", 4, "x", 7), ("e", 7, "y", 8), ("e", 8, "z", 10), ("e", 10, "x", None), (None, 99, "x", 100), (None, 100, "y", None)}
+
+
+@pytest.mark.parametrize("layout", [None, "date_src_time"])
+def test_a_batch_counts_once(spark, tmp_path, layout):
+    """A batch written again, also after a part of it was written, leaves the table as it was; other batches add to it."""
+    path, table = str(tmp_path / "flows"), f"once_{layout}"
+    rows = spark.range(40).select(
+        F.expr("date_add(DATE'2024-01-01', CAST(id % 4 AS INT))").alias("date"), F.col("id").cast("string").alias("src"), F.timestamp_seconds("id").alias("time")
+    )
+    for batch, part in (("a-0", rows.where("src < '2'")), ("a-0", rows), ("a-0", rows), ("a-1", rows.limit(0)), ("b-0", rows)):
+        sinks.append_flows(part, path, layout=layout, table=table, batch=batch)
+    assert {tuple(r) for r in spark.table(table).groupBy("batch").agg(F.count("*"), F.countDistinct("src")).collect()} == {("a-0", 40, 40), ("b-0", 40, 40)}
+    assert spark.read.parquet(path).count() == 80
+
+
+def test_append_to_a_catalog_table(spark, tmp_path):
+    for _ in range(2):
+        sinks.append_flows(spark.range(3).toDF("n"), str(tmp_path / "t"), table="plain_flows")
+    assert spark.table("plain_flows").count() == 6
+
+
+class _Writer:
+    """Stands for a DataFrame and its writer; notes what is called."""
+
+    def __init__(self, streaming):
+        self.isStreaming, self.calls = streaming, {}
+
+    write = writeStream = property(lambda self: self)
+
+    def __getattr__(self, name):
+        def note(*args, **named):
+            self.calls[name] = args or named
+            return "query" if name == "start" else self
+
+        return note
+
+    def options(self, **named):
+        self.calls.setdefault("options", {}).update(named)
+        return self
+
+
+def test_published_messages():
+    batch, stream = _Writer(False), _Writer(True)
+    sinks.publish_messages(batch, "one:9092,two:9092", "flows", **{"compression.type": "snappy", "retries": "2"})
+    assert batch.calls["select"] == ("value",) and batch.calls["format"] == ("kafka",) and "save" in batch.calls
+    assert batch.calls["options"] == {
+        "kafka.bootstrap.servers": "one:9092,two:9092", "topic": "flows", "kafka.compression.type": "snappy", "kafka.retries": "2"
+    }
+    assert sinks.publish_messages(stream, "one:9092", "flows", checkpoint="/c") == "query"
+    assert stream.calls["option"] == ("checkpointLocation", "/c") and "save" not in stream.calls
