@@ -479,11 +479,34 @@ def netflow9_report(spark, sf_dir):
     return n9.netflow9_report(fx.netflow9_datagrams(spark, sf_dir), fx.element_dictionary(spark))
 
 
+@query
+def damaged_ipfix_records(spark, sf_dir):
+    """A broken template or set spoils its message."""
+    return _record_fields(ix.ipfix_table(fx.ipfix_datagrams(spark, sf_dir, True), fx.element_dictionary(spark)))
+
+
+@query
+def damaged_ipfix_records_keep_sets(spark, sf_dir):
+    """A broken data set goes alone."""
+    return _record_fields(ix.ipfix_table(fx.ipfix_datagrams(spark, sf_dir, True), fx.element_dictionary(spark), on_error="keep_sets"))
+
+
+@query
+def damaged_ipfix_report(spark, sf_dir):
+    return ix.ipfix_report(fx.ipfix_datagrams(spark, sf_dir, True), fx.element_dictionary(spark))
+
+
+@query
+def damaged_netflow9_report(spark, sf_dir):
+    return n9.netflow9_report(fx.netflow9_datagrams(spark, sf_dir, True), fx.element_dictionary(spark))
+
+
 @query
 def interpret_values(spark, sf_dir):
     types = [
         "unsigned64", "unsigned32", "unsigned16", "unsigned8", "signed64", "octetArray", "macAddress", "boolean",
-        "ipv4Address", "ipv6Address", "dateTimeSeconds",
+        "ipv4Address", "ipv6Address", "dateTimeSeconds", "dateTimeMilliseconds", "dateTimeMicroseconds", "dateTimeNanoseconds",
+        "signed8", "signed16", "signed32",
     ]
     rows = fx.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("key"),

@@ -197,6 +197,7 @@ def netflow5_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ templates (IPFIX, v9)
 
+EMPTY = "X''"
 _STATUS_F = "o_orderstatus = 'F'"
 _STATUS_P = "o_orderstatus = 'P'"
 _ORDER_COLUMNS = [
@@ -222,8 +223,16 @@ _ORDER_COLUMNS = [
 ]
 
 
-def ipfix_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One IPFIX message per order.
+def _damage(template_set: int) -> str:
+    """SQL text of a last, broken set: a template that is cut short for keys divisible by 7, a data set that does not end on a
+    record for those that leave 1, nothing for the others."""
+    cut_template = _words((template_set, 2), (12, 2), (700, 2), (4, 2), (8, 2), (4, 2))
+    partial = f"concat({_words(('tid', 2), (13, 2))}, X'010203040506070809')"
+    return f"CASE o_orderkey % 7 WHEN 0 THEN {cut_template} WHEN 1 THEN {partial} ELSE X'' END"
+
+
+def ipfix_datagrams(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """One IPFIX message per order; some end with a broken set if ``damaged``.
 
     Orders with status F announce the agent's template first, those with status P announce
     an option template and send one option record; all send 1 to 3 data records. Agents with
@@ -259,7 +268,7 @@ def ipfix_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = (
         f"concat({_if(_STATUS_F, _set('2', 'template'))}, "
         f"{_if(_STATUS_P, _set('3', 'options'))}, {_set('tid', 'data')}, "
-        f"{_if(_STATUS_P, _set('600', 'option_data'))})"
+        f"{_if(_STATUS_P, _set('600', 'option_data'))}, {_damage(2) if damaged else EMPTY})"
     )
     header = _words(("10", 2), ("length(sets) + 16", 2), ("secs", 4), ("o_orderkey", 4), ("o_custkey % 16", 4))
     return _datagrams(
@@ -267,8 +276,8 @@ def ipfix_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def netflow9_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One NetFlow v9 packet per order, announced as in :func:`ipfix_datagrams`.
+def netflow9_datagrams(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """One NetFlow v9 packet per order, announced and damaged as in :func:`ipfix_datagrams`.
 
     Octets come in 4 bytes and flags in 1, as most v9 exporters send them; every record has a
     MAC and an IPv6 address.
@@ -297,7 +306,7 @@ def netflow9_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = (
         f"concat({_if(_STATUS_F, _set('0', 'template'))}, "
         f"{_if(_STATUS_P, _set('1', 'options'))}, {_set('tid', 'data')}, "
-        f"{_if(_STATUS_P, _set('600', 'option_data'))})"
+        f"{_if(_STATUS_P, _set('600', 'option_data'))}, {_damage(0) if damaged else EMPTY})"
     )
     header = _words(("9", 2), ("legs", 2), ("357280", 4), ("secs", 4), ("o_orderkey", 4), ("o_custkey % 16", 4))
     return _datagrams(framed, "o_custkey", "netflowv9", "o_orderdate", "o_orderkey", f"concat({header}, {sets})")

@@ -327,6 +327,18 @@ def statements() -> dict[str, str]:
     sql["netflow9_header"] = f"""WITH {TPL} SELECT agent, o_orderkey AS msg_id, 9 AS "Version", 1 + o_orderkey % 3 AS "Count", 357280 AS "SysUpTime",
   epoch(o_orderdate)::BIGINT AS "UNIXSecs", o_orderkey AS "SeqNum", o_custkey % 16 AS "SrcID" FROM msgs"""
     sql["unresolved_report"] = sql["netflow9_report"] = f"WITH {TPL} SELECT agent, tid AS set_id, 'unknown template' AS reason, count(*) AS n FROM known WHERE tpl_msg IS NULL GROUP BY ALL"
+    # of damaged messages, those divisible by 7 have a template that is cut short, those that leave 1 a data set that does not end on a record
+    sql["damaged_ipfix_records_keep_sets"] = f"SELECT * FROM ({sql['ipfix_records']}) WHERE msg_id % 7 != 0"
+    sql["damaged_ipfix_records"] = f"""WITH {TPL} SELECT r.* FROM ({sql['ipfix_records']}) r JOIN known ON msg_id = o_orderkey
+  WHERE msg_id % 7 != 0 AND NOT (msg_id % 7 = 1 AND tpl_msg IS NOT NULL)"""
+    all_sets = "SELECT *, tid AS set_id FROM known UNION ALL SELECT *, 600 FROM known WHERE o_orderstatus = 'P'"
+    losses = f"""SELECT agent, NULL AS set_id, 'template cut short' AS reason FROM known WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT agent, set_id, 'template cut short' FROM ({all_sets}) WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT agent, tid, 'unknown template' FROM known WHERE tpl_msg IS NULL AND o_orderkey % 7 != 0
+  UNION ALL SELECT agent, tid, CASE WHEN tpl_msg IS NULL THEN 'unknown template' ELSE 'set does not end on a record' END FROM known WHERE o_orderkey % 7 = 1"""
+    fallen = f"SELECT agent, set_id, 'message dropped' FROM ({all_sets}) WHERE o_orderkey % 7 = 1 AND tpl_msg IS NOT NULL"
+    sql["damaged_netflow9_report"] = f"WITH {TPL} SELECT agent, set_id, reason, count(*) AS n FROM ({losses}) GROUP BY ALL"
+    sql["damaged_ipfix_report"] = f"WITH {TPL} SELECT agent, set_id, reason, count(*) AS n FROM ({losses} UNION ALL {fallen}) GROUP BY ALL"
     first = """SELECT o_custkey, o_orderdate AS came, iface FROM msgs WHERE o_orderstatus = 'F'
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1"""
     in_time = "came IS NOT NULL AND came <= k.o_orderdate + INTERVAL 365 DAY"
@@ -339,9 +351,11 @@ def statements() -> dict[str, str]:
     sql["stream_ipfix_records"], sql["stream_netflow9_records"] = sql["ipfix_records"], sql["netflow9_records"]
     sql["stream_netflow5_flows"] = sql["netflow5_flows"]
     sql["interpret_value"] = f"""WITH r AS (SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) * 1000003 AS v FROM orders), h AS (SELECT *, lpad(lower(to_hex(v)), 16, '0') AS x FROM r)
-  SELECT key, unnest(['unsigned64', 'unsigned32', 'unsigned16', 'unsigned8', 'signed64', 'octetArray', 'macAddress', 'boolean', 'ipv4Address', 'ipv6Address', 'dateTimeSeconds']) AS type,
+  SELECT key, unnest(['unsigned64', 'unsigned32', 'unsigned16', 'unsigned8', 'signed64', 'octetArray', 'macAddress', 'boolean', 'ipv4Address', 'ipv6Address', 'dateTimeSeconds',
+    'dateTimeMilliseconds', 'dateTimeMicroseconds', 'dateTimeNanoseconds', 'signed8', 'signed16', 'signed32']) AS type,
     unnest([v::VARCHAR, (v >> 32)::VARCHAR, (v >> 48)::VARCHAR, (v >> 56)::VARCHAR, v::VARCHAR, '0x' || x,
-      array_to_string([substr(x, i, 2) FOR i IN [1, 3, 5, 7, 9, 11, 13, 15]], ':'), CASE WHEN v >> 56 = 1 THEN 'true' ELSE 'false' END, '?' || x, '0x' || x, (v >> 32)::VARCHAR]) AS value FROM h"""
+      array_to_string([substr(x, i, 2) FOR i IN [1, 3, 5, 7, 9, 11, 13, 15]], ':'), CASE WHEN v >> 56 = 1 THEN 'true' ELSE 'false' END, '?' || x, '0x' || x, (v >> 32)::VARCHAR,
+      v::VARCHAR, v::VARCHAR, v::VARCHAR, (v >> 56)::TINYINT::VARCHAR, (CASE WHEN v >> 48 >= 32768 THEN (v >> 48) - 65536 ELSE v >> 48 END)::VARCHAR, (v >> 32)::VARCHAR]) AS value FROM h"""
     sql["text_helpers"] = f"""SELECT o_orderkey AS key, '172.16.' || (o_orderkey // 256) % 256 || '.' || o_orderkey % 256 AS ipv4,
   {_six('2001:db8::', 'o_orderkey')} AS ipv6, '02:00:' || {_hex_pairs('o_orderkey')} AS mac, '0x' || lpad(lower(to_hex(o_orderkey)), 8, '0') AS hex FROM orders"""
 
