@@ -52,6 +52,16 @@ def u64(buf: Column, offset) -> Column:
     return digits(cut(buf, offset, 8)).cast("decimal(20,0)")
 
 
+def word(buf: Column, offset) -> Column:
+    """Eight bytes as one number, to be read once and cut with :func:`bits`."""
+    return F.conv(F.hex(cut(buf, offset, 8)), 16, -10).cast("bigint")
+
+
+def bits(value: Column, after: int, n: int, type_name: str = "int") -> Column:
+    """The ``n`` bits of a word that ``after`` bits follow."""
+    return F.shiftrightunsigned(value, after).bitwiseAND(F.lit(2**n - 1)).cast(type_name)
+
+
 def signed(value: Column, bits: int) -> Column:
     """Two's complement reading of an unsigned value."""
     number = value.cast("decimal(20,0)")
@@ -127,6 +137,11 @@ def mac_text(buf: Column) -> Column:
     return F.lower(F.regexp_replace(F.hex(buf), "(..)(?=.)", "$1:"))
 
 
+def mac_at(digits_: Column, i: int) -> Column:
+    """Address ``i`` of a text of hex digits, 12 for each."""
+    return F.concat_ws(":", *[F.substring(digits_, 12 * i + 2 * k + 1, 2) for k in range(6)])
+
+
 def float32(buf: Column, offset=0) -> Column:
     """IEEE 754 single precision from its bits."""
     bits = u32(buf, offset)

@@ -17,9 +17,14 @@ TYPE_IPV4, TYPE_IPV6, TYPE_VLAN = 0x0800, 0x86DD, 0x8100
 ICMP, TCP, UDP, ICMPV6 = 1, 6, 17, 58
 
 
-def network_place(header: str, protocol: str) -> tuple[str, str]:
-    """SQL text: offset of the network layer, and its kind (4, 6, or 0 when unknown)."""
-    outer, inner = _word(header, "12"), _word(header, "16")
+def ether_type(header: str) -> str:
+    """SQL text: the outer type of an Ethernet header."""
+    return _word(header, "12")
+
+
+def network_place(header: str, protocol: str, outer: str) -> tuple[str, str]:
+    """SQL text: offset of the network layer, and its kind (4, 6, or 0 when unknown), by the outer type."""
+    inner = _word(header, "16")
     tagged = f"({protocol} = {ETHERNET} AND {outer} = {TYPE_VLAN})"
     offset = f"CASE WHEN {protocol} != {ETHERNET} THEN 0 WHEN {tagged} THEN 18 ELSE 14 END"
     kind = (
@@ -38,10 +43,15 @@ def _byte(header: str, offset: str) -> str:
     return f"CAST(conv(hex(substring({header}, {offset} + 1, 1)), 16, 10) AS INT)"
 
 
-def packet_error(header: str, protocol: str, at: str, kind: str, legacy: bool = False) -> str:
-    """SQL text: null for a readable packet, else the reason. IPv4 options count, but not with ``legacy``."""
+def transport_place(header: str, at: str, kind: str, legacy: bool = False) -> str:
+    """SQL text: offset of the transport layer. IPv4 options count, but not with ``legacy``."""
     four = "20" if legacy else f"greatest(({_byte(header, at)} & 15) * 4, 20)"
-    rest = f"(length({header}) - {at} - IF({kind} = 4, {four}, 40))"
+    return f"CAST({at} + IF({kind} = 4, {four}, 40) AS INT)"
+
+
+def packet_error(header: str, protocol: str, at: str, kind: str, transport_at: str) -> str:
+    """SQL text: null for a readable packet, else the reason."""
+    rest = f"(length({header}) - {transport_at})"
     transport = (
         f"CASE {_byte(header, f'{at} + IF({kind} = 4, 9, 6)')} "
         f"WHEN {TCP} THEN IF({rest} < 20, 'short TCP header', NULL) "
@@ -57,36 +67,46 @@ def packet_error(header: str, protocol: str, at: str, kind: str, legacy: bool =
     )
 
 
-def ethernet_layer(header: Column) -> Column:
-    """MACs, ether type, and one 802.1Q tag: ``Vlan`` is the whole tag word, ``vlan_id`` its low 12 bits."""
-    outer = b.u16(header, 12)
+def ethernet_layer(header: Column, outer: Column, addresses: Column) -> Column:
+    """MACs, ether type, and one 802.1Q tag: ``Vlan`` is the whole tag word, ``vlan_id`` its low 12 bits.
+
+    ``outer`` is the type that follows the addresses, ``addresses`` their hex digits.
+    """
     tagged = outer == TYPE_VLAN
     tag = F.when(tagged, b.u16(header, 14)).otherwise(F.lit(0))
     return F.struct(
-        b.mac_text(b.cut(header, 6, 6)).alias("SrcMAC"),
-        b.mac_text(b.cut(header, 0, 6)).alias("DstMAC"),
+        b.mac_at(addresses, 1).alias("SrcMAC"),
+        b.mac_at(addresses, 0).alias("DstMAC"),
         tag.alias("Vlan"),
         tag.bitwiseAND(F.lit(0xFFF)).alias("vlan_id"),
         F.when(tagged, b.u16(header, 16)).otherwise(outer).alias("EtherType"),
     )
 
 
-def ipv4_layer(header: Column, at: Column, legacy: bool = False) -> Column:
-    """IPv4 header. ``legacy`` reads flags as the low bits of their byte and no fragment offset."""
-    fragment = b.u16(header, at + 6)
-    flags = b.u8(header, at + 6)
+def ethernet_addresses(header: Column) -> Column:
+    """Both addresses as lower-case hex digits."""
+    return F.lower(F.hex(b.cut(header, 0, 12)))
+
+
+def ipv4_words(header: Column, at: Column) -> dict[str, Column]:
+    """The IPv4 header as three numbers: its first eight bytes, the next four, the addresses."""
+    return {"first": b.word(header, at), "second": b.u32(header, at + 8), "ends": b.word(header, at + 12)}
+
+
+def ipv4_layer(first: Column, second: Column, ends: Column, legacy: bool = False) -> Column:
+    """IPv4 header from :func:`ipv4_words`. ``legacy`` reads flags as the low bits of their byte and no fragment offset."""
     return F.struct(
-        F.shiftright(b.u8(header, at), 4).alias("Version"),
-        b.u8(header, at + 1).alias("TOS"),
-        b.u16(header, at + 2).alias("TotalLen"),
-        b.u16(header, at + 4).alias("ID"),
-        (flags.bitwiseAND(F.lit(7)) if legacy else F.shiftright(flags, 5)).alias("Flags"),
-        (F.lit(0) if legacy else fragment.bitwiseAND(F.lit(0x1FFF))).alias("FragOff"),
-        b.u8(header, at + 8).alias("TTL"),
-        b.u8(header, at + 9).alias("Protocol"),
-        b.u16(header, at + 10).alias("Checksum"),
-        b.ipv4_text(header, at + 12).alias("Src"),
-        b.ipv4_text(header, at + 16).alias("Dst"),
+        b.bits(first, 60, 4).alias("Version"),
+        b.bits(first, 48, 8).alias("TOS"),
+        b.bits(first, 32, 16).alias("TotalLen"),
+        b.bits(first, 16, 16).alias("ID"),
+        (b.bits(first, 8, 3) if legacy else b.bits(first, 13, 3)).alias("Flags"),
+        (F.lit(0) if legacy else b.bits(first, 0, 13)).alias("FragOff"),
+        b.bits(second, 24, 8).alias("TTL"),
+        b.bits(second, 16, 8).alias("Protocol"),
+        b.bits(second, 0, 16).alias("Checksum"),
+        b.ipv4_number_text(b.bits(ends, 32, 32, "bigint")).alias("Src"),
+        b.ipv4_number_text(b.bits(ends, 0, 32, "bigint")).alias("Dst"),
     )
 
 
@@ -104,19 +124,19 @@ def ipv6_layer(header: Column, at: Column) -> Column:
     )
 
 
-def tcp_layer(header: Column, at: Column) -> Column:
-    """Ports, data offset, and nine flag bits (NS included)."""
+def tcp_layer(ports: Column, flags: Column) -> Column:
+    """Ports, data offset, and nine flag bits (NS included), from the first four bytes and the two at 12."""
     return F.struct(
-        b.u16(header, at).alias("SrcPort"),
-        b.u16(header, at + 2).alias("DstPort"),
-        F.shiftright(b.u8(header, at + 12), 4).alias("DataOffset"),
+        b.bits(ports, 16, 16).alias("SrcPort"),
+        b.bits(ports, 0, 16).alias("DstPort"),
+        b.bits(flags, 12, 4).alias("DataOffset"),
         F.lit(0).alias("Reserved"),
-        b.u16(header, at + 12).bitwiseAND(F.lit(0x1FF)).alias("Flags"),
+        b.bits(flags, 0, 9).alias("Flags"),
     )
 
 
-def udp_layer(header: Column, at: Column) -> Column:
-    return F.struct(b.u16(header, at).alias("SrcPort"), b.u16(header, at + 2).alias("DstPort"))
+def udp_layer(ports: Column) -> Column:
+    return F.struct(b.bits(ports, 16, 16).alias("SrcPort"), b.bits(ports, 0, 16).alias("DstPort"))
 
 
 def icmp_layer(header: Column, at: Column) -> Column:
@@ -133,30 +153,35 @@ def packet_layers(packets: DataFrame, legacy: bool = False, checked: bool = Fals
 
     The IPv4 header is taken as 20 bytes with ``legacy``; otherwise its length field counts.
     """
-    header = F.col("header")
-    names = packets.columns
-    offset, kind = network_place("header", "protocol")
-    placed = packets.selectExpr("*", f"{offset} AS l3_at", f"{kind} AS l3_kind")
-    error = "CAST(NULL AS STRING)" if checked else packet_error("header", "protocol", "l3_at", "l3_kind", legacy)
+    header, names = F.col("header"), packets.columns
+    # numbers that several fields are cut from are columns of their own, so that each is read once
+    typed = packets.selectExpr("*", f"{ether_type('header')} AS l2_type")
+    offset, kind = network_place("header", "protocol", "l2_type")
+    placed = typed.selectExpr("*", f"{offset} AS l3_at", f"{kind} AS l3_kind")
+    placed = placed.selectExpr("*", f"{transport_place('header', 'l3_at', 'l3_kind', legacy)} AS l4_at")
+    error = "CAST(NULL AS STRING)" if checked else packet_error("header", "protocol", "l3_at", "l3_kind", "l4_at")
     four, six = F.col("l3_kind") == 4, F.col("l3_kind") == 6
-    words = F.lit(20) if legacy else F.greatest(b.u8(header, F.col("l3_at")).bitwiseAND(F.lit(15)) * 4, F.lit(20))
     deeper = placed.select(
-        *names,
+        "*",
         F.expr(error).alias("packet_error"),
-        "l3_at",
-        "l3_kind",
-        F.when(four, F.col("l3_at") + words).otherwise(F.col("l3_at") + 40).alias("l4_at"),
-        F.when(four, b.u8(header, F.col("l3_at") + 9)).otherwise(b.u8(header, F.col("l3_at") + 6)).alias("ip_protocol"),
+        b.u8(header, F.col("l3_at") + F.when(four, 9).otherwise(6)).alias("ip_protocol"),
     )
     fine = F.col("packet_error").isNull()
-    number, at = F.col("ip_protocol"), F.col("l4_at")
-    return deeper.select(
+    link, number, at = (F.col("protocol") == ETHERNET) & fine, F.col("ip_protocol"), F.col("l4_at")
+    read = deeper.select(
+        "*",
+        F.when(link, ethernet_addresses(header)).alias("_addresses"),
+        *[F.when(four & fine, word).alias(f"_{name}") for name, word in ipv4_words(header, F.col("l3_at")).items()],
+        F.when(number.isin(TCP, UDP) & fine, b.u32(header, at)).alias("_ports"),
+        F.when((number == TCP) & fine, b.u16(header, at + 12)).alias("_flags"),
+    )
+    return read.select(
         *names,
         "packet_error",
-        F.when((F.col("protocol") == ETHERNET) & fine, ethernet_layer(header)).alias("l2"),
-        F.when(four & fine, ipv4_layer(header, F.col("l3_at"), legacy)).alias("l3_v4"),
+        F.when(link, ethernet_layer(header, F.col("l2_type"), F.col("_addresses"))).alias("l2"),
+        F.when(four & fine, ipv4_layer(F.col("_first"), F.col("_second"), F.col("_ends"), legacy)).alias("l3_v4"),
         F.when(six & fine, ipv6_layer(header, F.col("l3_at"))).alias("l3_v6"),
-        F.when((number == TCP) & fine, tcp_layer(header, at)).alias("l4_tcp"),
-        F.when((number == UDP) & fine, udp_layer(header, at)).alias("l4_udp"),
+        F.when((number == TCP) & fine, tcp_layer(F.col("_ports"), F.col("_flags"))).alias("l4_tcp"),
+        F.when((number == UDP) & fine, udp_layer(F.col("_ports"))).alias("l4_udp"),
         F.when(number.isin(ICMP, ICMPV6) & fine, icmp_layer(header, at)).alias("l4_icmp"),
     )

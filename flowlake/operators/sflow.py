@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions import bytes as b
 from flowlake.functions.columns import settle
-from flowlake.operators.packet import network_place, packet_error, packet_layers
+from flowlake.operators.packet import ether_type, network_place, packet_error, packet_layers, transport_place
 
 # Sample and record formats.
 FLOW_SAMPLE, COUNTER_SAMPLE = 1, 2
@@ -63,6 +63,11 @@ def u(position: str, n: int, of: str = "payload") -> str:
     return f"CAST(conv(hex(substring({of}, {position} + 1, {n})), 16, 10) AS BIGINT)"
 
 
+def tag(position: str, of: str = "payload") -> str:
+    """SQL text: eight bytes as one number; two's complement where the first bit is set."""
+    return f"CAST(conv(hex(substring({of}, {position} + 1, 8)), 16, -10) AS BIGINT)"
+
+
 def sflow_header(datagrams: DataFrame) -> DataFrame:
     """Header fields of every version 5 datagram; ``ColTime`` is the arrival time."""
     payload = F.col("payload")
@@ -88,39 +93,48 @@ HEADER = ["Version", "IPVersion", "IPAddress", "AgentSubID", "SequenceNo", "SysU
 
 
 def _walk(count: str, start: str, end: str, sample: bool) -> str:
-    """SQL fold over tagged items between two offsets; stops with an error at a bad one."""
+    """SQL fold over tagged items between two offsets; stops with an error at a bad one.
+
+    ``tag`` holds format and length of the item at ``pos``, read once as one number.
+    """
 
-    def state(pos="a.pos", error="a.error", items="a.items"):
-        return f"named_struct('pos', {pos}, 'error', {error}, 'items', {items})"
+    def state(pos="a.pos", tag="a.tag", error="a.error", items="a.items"):
+        return f"named_struct('pos', {pos}, 'tag', {tag}, 'error', {error}, 'items', {items})"
 
-    kind, size = u("a.pos", 4), u("a.pos + 4", 4)
+    kind, size = "shiftrightunsigned(a.tag, 32)", "(a.tag & 4294967295)"
+    following = f"a.pos + 8 + CAST({size} AS INT)"
     item = f"array(named_struct('format', {kind}, 'off', a.pos + 8, 'len', CAST({size} AS INT)))"
     private = f"WHEN {kind} >= 4096 THEN {state(error=chr(39) + 'not a standard sample' + chr(39))}" if sample else ""
-    zero = f"named_struct('pos', {start}, 'error', CAST(NULL AS STRING), 'items', CAST(array() AS array<{_ITEM}>))"
+    zero = state(start, tag(start), "CAST(NULL AS STRING)", f"CAST(array() AS array<{_ITEM}>)")
     steps = f"CAST(greatest(least({count}, ({end} - {start}) div 8 + 1), 1) AS INT)"
     return f"""aggregate(IF({count} > 0, sequence(1, {steps}), CAST(array() AS array<int>)), {zero}, (a, i) -> CASE
         WHEN a.error IS NOT NULL THEN a
         WHEN {end} - a.pos < 8 THEN {state(error=chr(39) + 'cut short' + chr(39))}
         {private}
         WHEN {size} > {end} - a.pos - 8 THEN {state(error=chr(39) + 'length past the end' + chr(39))}
-        ELSE {state(pos=f'a.pos + 8 + CAST({size} AS INT)', items=f'concat(a.items, {item})')} END)"""
+        ELSE {state(pos=following, tag=tag(following), items=f'concat(a.items, {item})')} END)"""
 
 
 def _record_check(record: str) -> str:
-    """SQL text: why a flow record is bad, or null."""
-    size = u(f"{record}.off + 12", 4)
-    header = f"substring(payload, {record}.off + 17, CAST({size} AS INT))"
-    offset, kind = network_place("p.header", "p.protocol")
-    packet = packet_error("q.header", "q.protocol", "q.at", "q.kind")
+    """SQL text: why a flow record is bad, or null. Each one-element transform names numbers that the next one needs."""
+    outer = ether_type("p.header")
+    offset, kind = network_place("p.header", "p.protocol", "p.outer")
+    after = transport_place("p.header", "p.at", "p.kind")
     packed = (
-        f"transform(array(named_struct('header', {header}, 'protocol', {u(f'{record}.off', 4)})), "
-        f"p -> named_struct('header', p.header, 'protocol', p.protocol, 'at', {offset}, 'kind', {kind}))"
+        f"transform(array(named_struct('header', substring(payload, {record}.off + 17, CAST(h.size AS INT)), 'protocol', h.protocol)), "
+        f"p -> named_struct('header', p.header, 'protocol', p.protocol, 'outer', {outer}))"
+    )
+    packed = f"transform({packed}, p -> named_struct('header', p.header, 'protocol', p.protocol, 'at', {offset}, 'kind', {kind}))"
+    packed = f"transform({packed}, p -> named_struct('header', p.header, 'protocol', p.protocol, 'at', p.at, 'kind', p.kind, 'l4', {after}))"
+    packet = packet_error("p.header", "p.protocol", "p.at", "p.kind", "p.l4")
+    raw = (
+        f"element_at(transform(array(named_struct('size', {u(f'{record}.off + 12', 4)}, 'protocol', {u(f'{record}.off', 4)})), h -> "
+        f"CASE WHEN h.size > {LONGEST_HEADER} THEN 'sampled header over 1500 bytes' "
+        f"WHEN {record}.len < 16 OR h.size > {record}.len - 16 THEN 'cut short' "
+        f"ELSE element_at(transform({packed}, p -> {packet}), 1) END), 1)"
     )
     return (
-        f"CASE WHEN {record}.format = {RAW_HEADER} AND ({record}.len < 16 OR {size} > {record}.len - 16) THEN "
-        f"IF({size} > {LONGEST_HEADER}, 'sampled header over 1500 bytes', 'cut short') "
-        f"WHEN {record}.format = {RAW_HEADER} AND {size} > {LONGEST_HEADER} THEN 'sampled header over 1500 bytes' "
-        f"WHEN {record}.format = {RAW_HEADER} THEN element_at(transform({packed}, q -> {packet}), 1) "
+        f"CASE WHEN {record}.format = {RAW_HEADER} THEN {raw} "
         f"WHEN {record}.format = {EXT_SWITCH} AND {record}.len < 16 THEN 'cut short' "
         f"WHEN {record}.format = {EXT_ROUTER} AND {record}.len < 12 THEN 'cut short' END"
     )
@@ -176,7 +190,7 @@ def _checked(datagrams: DataFrame, exclude_types: list[int] | None) -> DataFrame
     number = f"IF(s.format = {FLOW_SAMPLE}, {u('s.off + 28', 4)}, {u('s.off + 8', 4)})"
     records = _walk(number, f"(s.off + {head})", "(s.off + s.len)", sample=False)
     walked = f"""transform({chosen}, s -> named_struct('format', s.format, 'off', s.off, 'len', s.len, 'walk',
-        IF(s.len < {head}, named_struct('pos', 0, 'error', 'cut short', 'items', CAST(array() AS array<{_ITEM}>)), {records})))"""
+        IF(s.len < {head}, named_struct('pos', 0, 'tag', 0L, 'error', 'cut short', 'items', CAST(array() AS array<{_ITEM}>)), {records})))"""
     checked = f"""transform(seen, s -> named_struct('format', s.format, 'off', s.off, 'len', s.len, 'records', s.walk.items,
         'error', coalesce(s.walk.error, try_element_at(filter(transform(s.walk.items, r ->
             IF(s.format = {FLOW_SAMPLE}, {_record_check('r')}, {_counter_check('r')})), e -> e IS NOT NULL), 1))))"""
@@ -196,20 +210,21 @@ def _record(number: int) -> Column:
 
 def sflow_flow_samples(samples: DataFrame) -> DataFrame:
     """Flow samples: sequence, source, rate, pool, drops, interfaces, record count."""
-    payload, off = F.col("payload"), F.col("off")
     keep = [c for c in samples.columns if c not in ("sample_type", "off", "len", "SequenceNo")]
-    return samples.where(F.col("sample_type") == FLOW_SAMPLE).select(
+    words = [b.word(F.col("payload"), F.col("off") + 8 * i).alias(f"_w{i}") for i in range(4)]
+    read = samples.where(F.col("sample_type") == FLOW_SAMPLE).select("*", *words)
+    return read.select(
         *keep,
         F.col("SequenceNo").alias("datagram_seq"),
-        b.u32(payload, off).alias("SequenceNo"),
-        b.u8(payload, off + 4).alias("SourceID"),
-        b.u24(payload, off + 5).alias("source_index"),
-        b.u32(payload, off + 8).alias("SamplingRate"),
-        b.u32(payload, off + 12).alias("SamplePool"),
-        b.u32(payload, off + 16).alias("Drops"),
-        b.u32(payload, off + 20).alias("Input"),
-        b.u32(payload, off + 24).alias("Output"),
-        b.u32(payload, off + 28).alias("RecordsNo"),
+        b.bits(F.col("_w0"), 32, 32, "bigint").alias("SequenceNo"),
+        b.bits(F.col("_w0"), 24, 8).alias("SourceID"),
+        b.bits(F.col("_w0"), 0, 24).alias("source_index"),
+        b.bits(F.col("_w1"), 32, 32, "bigint").alias("SamplingRate"),
+        b.bits(F.col("_w1"), 0, 32, "bigint").alias("SamplePool"),
+        b.bits(F.col("_w2"), 32, 32, "bigint").alias("Drops"),
+        b.bits(F.col("_w2"), 0, 32, "bigint").alias("Input"),
+        b.bits(F.col("_w3"), 32, 32, "bigint").alias("Output"),
+        b.bits(F.col("_w3"), 0, 32, "bigint").alias("RecordsNo"),
     )
 
 

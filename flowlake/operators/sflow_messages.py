@@ -28,20 +28,32 @@ def _last(number: int) -> str:
 def _placed_samples(legacy: bool) -> str:
     """SQL text: flow samples with their records' places and where the layers of the sampled packet begin."""
     size, protocol = sf.u("s.raw.off + 12", 4), sf.u("s.raw.off", 4)
-    offset, kind = p.network_place("s.header", "s.protocol")
-    words = "20" if legacy else f"greatest(({sf.u('s.l3', 1, 's.header')} & 15) * 4, 20)"
-    found = (
-        f"transform(filter(samples, s -> s.format = {sf.FLOW_SAMPLE} AND s.error IS NULL), s -> named_struct('off', s.off, "
-        f"'switch', {_last(sf.EXT_SWITCH)}, 'router', {_last(sf.EXT_ROUTER)}, 'raw', {_last(sf.RAW_HEADER)}))"
-    )
-    kept = "'off', s.off, 'switch', s.switch, 'router', s.router, 'raw', s.raw"
-    cut = f"transform({found}, s -> named_struct({kept}, 'protocol', {protocol}, 'header', substring(payload, s.raw.off + 17, CAST({size} AS INT))))"
-    kept += ", 'protocol', s.protocol, 'header', s.header"
-    third = f"transform({cut}, s -> named_struct({kept}, 'l3', {offset}, 'kind', {kind}))"
-    return (
-        f"transform({third}, s -> named_struct({kept}, 'l3', s.l3, 'kind', s.kind, 'l4', CAST(s.l3 + IF(s.kind = 4, {words}, 40) AS INT), "
-        f"'inner', CAST({sf.u('s.l3 + IF(s.kind = 4, 9, 6)', 1, 's.header')} AS INT)))"
-    )
+    offset, kind = p.network_place("s.header", "s.protocol", "s.outer")
+    rows = f"filter(samples, s -> s.format = {sf.FLOW_SAMPLE} AND s.error IS NULL)"
+    # each step may use the names of those before it
+    steps = [
+        {"off": "s.off", "switch": _last(sf.EXT_SWITCH), "router": _last(sf.EXT_ROUTER), "raw": _last(sf.RAW_HEADER)},
+        {"protocol": protocol, "header": f"substring(payload, s.raw.off + 17, CAST({size} AS INT))"},
+        {"outer": p.ether_type("s.header"), "addresses": "lower(hex(substring(s.header, 1, 12)))"},
+        {"l3": offset, "kind": kind},
+        {
+            "l4": p.transport_place("s.header", "s.l3", "s.kind", legacy),
+            "inner": f"CAST({sf.u('s.l3 + IF(s.kind = 4, 9, 6)', 1, 's.header')} AS INT)",
+            "first": f"IF(s.kind = 4, {sf.tag('s.l3', 's.header')}, NULL)",
+            "second": f"IF(s.kind = 4, {sf.u('s.l3 + 8', 4, 's.header')}, NULL)",
+            "ends": f"IF(s.kind = 4, {sf.tag('s.l3 + 12', 's.header')}, NULL)",
+        },
+        {
+            "ports": f"IF(s.inner IN ({p.TCP}, {p.UDP}), {sf.u('s.l4', 4, 's.header')}, NULL)",
+            "flags": f"IF(s.inner = {p.TCP}, {sf.u('s.l4 + 12', 2, 's.header')}, NULL)",
+        },
+    ]
+    known: dict[str, str] = {}
+    for step in steps:
+        known |= step
+        rows = f"transform({rows}, s -> named_struct({', '.join(f"'{name}', {value}" for name, value in known.items())}))"
+        known = {name: f"s.{name}" for name in known}
+    return rows
 
 
 def _placed_counters() -> str:
@@ -51,14 +63,14 @@ def _placed_counters() -> str:
 
 def _link(s: Column) -> Column:
     """Layer 2; a sampled packet that begins with its IP header has an empty one."""
-    layer = p.ethernet_layer(s["header"])
+    layer = p.ethernet_layer(s["header"], s["outer"], s["addresses"])
     empty = {"SrcMAC": "", "DstMAC": "", "Vlan": 0, "EtherType": 0}
     return F.struct(*[F.when(s["protocol"] == p.ETHERNET, layer[n]).otherwise(F.lit(none)).alias(n) for n, none in empty.items()])
 
 
 def _network(s: Column, legacy: bool) -> Column:
     """Layer 3 of either family; what the other family has is null, hence absent from JSON."""
-    four, six = p.ipv4_layer(s["header"], s["l3"], legacy), p.ipv6_layer(s["header"], s["l3"])
+    four, six = p.ipv4_layer(s["first"], s["second"], s["ends"], legacy), p.ipv6_layer(s["header"], s["l3"])
     is_four = s["kind"] == 4
     only_four = ("TOS", "TotalLen", "ID", "Flags", "FragOff", "TTL", "Protocol", "Checksum")
     only_six = ("TrafficClass", "FlowLabel", "PayloadLen", "NextHeader", "HopLimit")
@@ -72,7 +84,7 @@ def _network(s: Column, legacy: bool) -> Column:
 
 def _transport(s: Column) -> Column:
     header, at, number = s["header"], s["l4"], s["inner"]
-    tcp, icmp = p.tcp_layer(header, at), p.icmp_layer(header, at)
+    tcp, icmp = p.tcp_layer(s["ports"], s["flags"]), p.icmp_layer(header, at)
     is_tcp, is_icmp = number == p.TCP, number.isin(p.ICMP, p.ICMPV6)
     return F.struct(
         *[F.when(~is_icmp, tcp[n]).alias(n) for n in ("SrcPort", "DstPort")],
