@@ -70,22 +70,34 @@ def versions_and_layouts(
     datagrams: DataFrame, framing: Framing, elements: DataFrame, registry: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Change points of all templates by the name of their field list, and the dictionary of field lists, ready to slice with."""
-    keys = keys_of(datagrams)
-    versions = stored(t.with_layout(t.template_versions(stored(announcements(datagrams, framing, registry)), keys)))
-    return versions.drop("fields"), stored(t.layouts(versions, elements, framing.enterprise))
+    announced = stored(t.with_layout(announcements(datagrams, framing, registry)))
+    versions = stored(t.template_versions(announced, keys_of(datagrams), content="layout"))
+    return versions, stored(t.layouts(announced, elements, framing.enterprise))
 
 
-def resolved_sets(datagrams: DataFrame, framing: Framing, versions: DataFrame, layouts: DataFrame, again: bool = False) -> DataFrame:
-    """Every data set with its typed template; the template's columns are null where unknown. Bytes do not move.
-
-    ``again``: the sets will be read more than once. They are stored then, for reading them costs less than walking the messages.
-    """
+def resolved_sets(datagrams: DataFrame, framing: Framing, versions: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Every data set with its typed template; the template's columns are null where unknown. Bytes do not move."""
     sets = t.data_sets(message_header(datagrams, framing), framing)
-    sets = stored(sets) if again else sets
     named = t.hinted(layouts.count(), layouts)[0]
     return t.resolve_templates(sets, versions, keys_of(datagrams)).join(named, "layout", "left")
 
 
+def judged_sets(
+    datagrams: DataFrame, framing: Framing, versions: DataFrame, layouts: DataFrame, on_unknown: str = "drop_set", again: bool = False
+) -> DataFrame:
+    """Resolved sets with their status (:func:`set_status`).
+
+    ``again``: the sets will be read more than once. They are stored then, judged and with the name of their field list only, so that
+    finding broken messages reads a few columns, and neither the walk nor the lookup is done twice.
+    """
+    status = set_status(resolved_sets(datagrams, framing, versions, layouts), framing, on_unknown)
+    if not again:
+        return status
+    typed = [c for c in layouts.columns if c != "layout"]
+    named = t.hinted(layouts.count(), layouts)[0]
+    return stored(status.drop(*typed, "valid_from", "valid_to")).join(named, "layout", "left")
+
+
 _SPAN = "struct<off:int,len:int>"
 
 
@@ -221,7 +233,7 @@ def records_table(
 ) -> DataFrame:
     """One row per data record of the datagrams."""
     known = versions_and_layouts(datagrams, framing, elements, registry)
-    status = set_status(resolved_sets(datagrams, framing, *known, again=on_error == "drop_message"), framing, on_unknown)
+    status = judged_sets(datagrams, framing, *known, on_unknown, again=on_error == "drop_message")
     records = slice_records(usable_sets(status, framing, on_error), reduced_size)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     return records.withColumn("AgentID", F.col("agent")).withColumn("export_time", F.timestamp_seconds(seconds))
@@ -240,7 +252,7 @@ def unresolved_sets(
     With ``on_error="drop_message"`` also the good sets that fall with a broken one of their message, as "message dropped".
     """
     known = versions_and_layouts(datagrams, framing, elements, registry)
-    status = set_status(resolved_sets(datagrams, framing, *known, again=on_error == "drop_message"), framing, on_unknown)
+    status = judged_sets(datagrams, framing, *known, on_unknown, again=on_error == "drop_message")
     if on_error == "drop_message":
         status = status.join(fatal_messages(status), [*keys_of(status), "recv_ts", "msg_id"], "left")
         fallen = F.col("first_bad").isNotNull() & (F.lit(framing.proto == "ipfix") | (F.col("set_ix") > F.col("first_bad")))
@@ -307,8 +319,7 @@ def flow_table(
         *[place(wanted).alias(f"_{name}") for name, wanted, _, _ in columns],
     )
     typed = typed.withColumn("fields", F.when(F.col("variable"), F.col("fields")).otherwise(F.slice("fields", 1, 0)))
-    resolved = resolved_sets(datagrams, framing, versions, stored(typed), again=on_error == "drop_message")
-    sets = usable_sets(set_status(resolved, framing, on_unknown), framing, on_error)
+    sets = usable_sets(judged_sets(datagrams, framing, versions, stored(typed), on_unknown, on_error == "drop_message"), framing, on_error)
     seconds = F.col("Header.ExportTime") if framing.proto == "ipfix" else F.col("Header.UNIXSecs")
     placed = sets.where("NOT optional").select(
         "agent", "recv_ts", "msg_id", F.timestamp_seconds(seconds).alias("export_time"), "body", "record_bytes",

@@ -259,9 +259,13 @@ def known_template_ids(registry: DataFrame) -> DataFrame:
     return registry.select("template_id").orderBy("template_id")
 
 
-def template_versions(announcements: DataFrame, keys: tuple[str, ...] = ("agent",), bucket: str = "hour") -> DataFrame:
+def template_versions(
+    announcements: DataFrame, keys: tuple[str, ...] = ("agent",), bucket: str = "hour", content: str = "fields"
+) -> DataFrame:
     """Change points: every template with the stretch of positions in which it is valid.
 
+    ``content`` is the column that makes a version: the fields, or ``layout``, their digest (:func:`with_layout`), which is less to move.
+
     Exporters repeat their templates all the time, and some change them all the time. Repeats are dropped inside (agent, id, time
     bucket) against the row before, which for the first row of a bucket is the last one of the bucket before; where a
     version ends is found likewise. So no task sees more of one template than a bucket, or one row per bucket. ``valid_to`` is
@@ -269,29 +273,29 @@ def template_versions(announcements: DataFrame, keys: tuple[str, ...] = ("agent"
     """
     key = [*keys, "template_id"]
     near = Window.partitionBy(*key, "bucket").orderBy("valid_from", "rec_ix")
-    rows = announcements.select(*key, _position(ORDER).alias("valid_from"), "rec_ix", "fields", F.date_trunc(bucket, "recv_ts").alias("bucket"))
-    same = F.coalesce(F.lag("fields").over(near) == F.col("fields"), F.lit(False))
+    rows = announcements.select(*key, _position(ORDER).alias("valid_from"), "rec_ix", content, F.date_trunc(bucket, "recv_ts").alias("bucket"))
+    same = F.coalesce(F.lag(content).over(near) == F.col(content), F.lit(False))
     changes = with_edges(rows, key, "bucket", ["valid_from", "rec_ix"]).withColumn("same", same).where("NOT same AND NOT edge").drop("same", "edge")
     ends = with_edges(changes, key, "bucket", ["valid_from", "rec_ix"], after=True)
     versions = ends.withColumn("valid_to", F.lead("valid_from").over(near)).where("NOT edge")
     # of two templates for one id in one set only the last can apply
     versions = versions.where(F.col("valid_to").isNull() | (F.col("valid_from") < F.col("valid_to")))
-    return versions.select(*key, "valid_from", "fields", "valid_to")
+    return versions.select(*key, "valid_from", content, "valid_to")
 
 
-def with_layout(versions: DataFrame) -> DataFrame:
-    """Versions with the digest of their fields, ``layout``."""
-    return versions.withColumn("layout", F.md5(F.to_json("fields").cast("binary")))
+def with_layout(announced: DataFrame) -> DataFrame:
+    """Announcements or versions with the digest of their fields, ``layout``."""
+    return announced.withColumn("layout", F.md5(F.to_json("fields").cast("binary")))
 
 
-def layouts(versions: DataFrame, elements: DataFrame, enterprise: bool = True) -> DataFrame:
+def layouts(announced: DataFrame, elements: DataFrame, enterprise: bool = True) -> DataFrame:
     """The dictionary of different field lists, by ``layout``, with each field's place in the record and how to read it.
 
     Exporters of one kind announce the same field lists, so this has far fewer rows than there are versions. A lookup join with
     the (small, driver-made) elements and one grouping per field list, which is bounded by the size of a datagram. v9 looks
     every id up under enterprise 0.
     """
-    lists = versions.select("layout", "fields").dropDuplicates(["layout"])
+    lists = announced.select("layout", "fields").dropDuplicates(["layout"])
     rows = lists.select("layout", F.posexplode_outer("fields").alias("ix", "f")).select("layout", "ix", "f.*")
     names = elements.select(
         F.col("enterprise").alias("x_enterprise"), F.col("element_id").alias("x_id"), "name", F.col("type").alias("type_name")

@@ -55,7 +55,7 @@ def stream_records(
         batch = batch.persist()
         before = _state(batch, f"{path}/templates", epoch, registry)
         known = r.versions_and_layouts(batch, framing, elements, before)
-        status = r.set_status(r.resolved_sets(batch, framing, *known), framing, on_unknown)
+        status = r.judged_sets(batch, framing, *known, on_unknown, again=on_error == "drop_message" or max_age is not None)
         records = r.slice_records(r.usable_sets(status, framing, on_error), reduced_size)
         records.write.mode("overwrite").parquet(f"{path}/records/batch={epoch}")
         announced = stored(r.announcements(batch, framing, before))
