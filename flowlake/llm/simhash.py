@@ -8,10 +8,12 @@ that are not below its own. Candidates of a value are verified in blocks, and of
 kept, so that no group makes all its pairs. A value that many fingerprints post is split into a grid of parts.
 
 Copies share a fingerprint and are one node, so they cost nothing after the first aggregation. Components come from alternating
-large-star and small-star steps, each written to the shared folder.
+large-star and small-star steps, each written to the shared folder; nodes with over a thousandth of all links are few, and are looked
+up by broadcast, so that the links of a hub stay where they are.
 
 Defined cases: a null text has fingerprint zero, which is linked as any other; null keys rank last; repeated rows share a
-component; an empty table gives an empty result; further columns pass through.
+component; an empty table gives an empty result; further columns pass through, but one named ``component_id``, ``fp`` or ``fp2`` is
+replaced in what ``near_groups`` returns (``near_dedup`` returns the rows as they were).
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ SAMPLE = 4096
 PROBE_COST, CANDIDATE_COST = 4000.0, 4.0
 #: A value is split into parts of this size, or of this part of all fingerprints if that is more.
 PART, PART_SHARE = 4096, 1 / 32
+#: A node with more links than this, and than a thousandth of all, is a hub; there are 2,000 of them at most.
+HUB = 256
 
 
 def shingle_hashes(text: str, words: int, distinct: bool) -> np.ndarray:
@@ -325,6 +329,14 @@ def links_of(prints: DataFrame, groups: list[list[int]], thresholds: list[int],
 # ------------------------------------------------------------------ components
 
 
+def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """Rows (u, v) with the ``m`` that ``least`` (u, m, n) has for u, where n counts the rows of u. Rows of hubs do not move."""
+    hub = F.col("n") > max(HUB, n_edges // 1000)
+    hubs = F.broadcast(least.filter(hub).select("u", "m"))
+    others = rows.join(hubs, "u", "left_anti").join(least.filter(~hub).select("u", "m"), "u")
+    return rows.join(hubs, "u").select("u", "v", "m").unionByName(others.select("u", "v", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is the least name of its component."""
 
@@ -336,11 +348,11 @@ def components(links: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = _with_least(both, least, before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         after = state(edges)
         if after == before:
@@ -391,8 +403,9 @@ def near_groups(
     roots = components(links)
     nodes = prints.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least_key").alias("component_id"))
-    of_print = nodes.join(least, "root").select("fp", "fp2", "component_id")
-    return marked.join(of_print, ["fp", "fp2"]).select(*marked.columns, "component_id")
+    of_print = nodes.join(least, "root").select("fp", "fp2", F.col("component_id").alias("_component"))
+    kept = [c for c in marked.columns if c != "component_id"]
+    return marked.join(of_print, ["fp", "fp2"]).select(*kept, F.col("_component").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", **parameters) -> DataFrame:

@@ -87,10 +87,14 @@ def test_bits_that_go_together_share_a_group():
     assert sorted(b for g in groups for b in g) == list(range(64)) and any({3, 40, 61} <= set(g) for g in groups)
 
 
-def test_chains_become_one_component(spark):
+@pytest.mark.parametrize("hub", [256, 2])
+def test_chains_and_stars_become_one_component(spark, monkeypatch, hub):
+    monkeypatch.setattr(sh, "HUB", hub)
     chain = [(f"{k:04d}", f"{k + 1:04d}") for k in range(60)] + [("x1", "x2"), ("x2", "x1")]
+    chain += [("p500", f"p{k:03d}") for k in range(300)] + [("q0", f"q{k:03d}") for k in range(300)]
     got = {r.node: r.root for r in sh.components(spark.createDataFrame(chain, "a string, b string")).collect()}
     assert {got[f"{k:04d}"] for k in range(1, 61)} == {"0000"} and got["x2"] == "x1"
+    assert {r for n, r in got.items() if n[0] == "p"} == {"p000"} and {got[f"q{k:03d}"] for k in range(300)} == {"q0"}
     assert sh.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
@@ -100,7 +104,8 @@ def test_cases(spark):
     near = words[:200] + ["other"] + words[201:]
     rows = [(5, None), (6, ""), (7, " \t"), (1, long), (2, long.upper()), (8, " ".join(words)), (9, " ".join(near)), (8, " ".join(words)), (None, "lone words here now"), (3, "solo")]
     docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, fp string")
-    got = sh.near_groups(docs.drop("fp"))
+    got = sh.near_groups(docs.select("doc_id", "text", docs.fp.alias("component_id")))  # replaced
+    assert got.columns == ["doc_id", "fp", "fp2", "component_id"]
     by_id = {r.doc_id: r.component_id for r in got.collect()}
     assert got.count() == len(rows)
     assert by_id[5] == by_id[6] == by_id[7] == 5 and by_id[1] == by_id[2] == 1 and by_id[3] == 3 and by_id[None] is None
