@@ -219,7 +219,8 @@ def slice_records(sets: DataFrame, reduced_size: str = "hex") -> DataFrame:
         )
 
     cut = rows.select(*keep, "record_ix", F.transform("template", field).alias("cut"))
-    return cut.select(*keep, "record_ix", F.transform("cut", text).alias("fields"))
+    # whoever explodes or filters the fields would otherwise have them read once more
+    return settle(cut.select(*keep, "record_ix", F.transform("cut", text).alias("fields")), "fields")
 
 
 def records_table(

@@ -6,12 +6,16 @@ A message is walked once over its set headers; that yields a short array of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlake.functions import bytes as b
+from flowlake.functions.announced import TEMPLATES, read_announced
 from flowlake.functions.columns import settle
 from flowlake.functions.values import kind_of, width_of
 from flowlake.operators.buckets import with_edges
@@ -128,93 +132,49 @@ def sets_of(datagrams: DataFrame, framing: Framing) -> DataFrame:
 # ------------------------------------------------------------------ template walk
 
 
-def _halves(s: str) -> str:
-    """A template set as an array of its 16-bit numbers; read once, then only indexed."""
-    return f"transform(sequence(0, {s}.len div 2), i -> {_u(f'{s}.off + 2 * i', 2)})"
+def _announced(rows: DataFrame, framing: Framing, columns: list[str]) -> DataFrame:
+    """``columns`` of messages with ``payload`` and ``sets``, their ``templates``, and ``template_error`` where one is cut short.
 
+    Whole Arrow batches are read at once, as a fold in a lambda takes some 100 microseconds for a template. Rows stay where they are.
+    """
+    added = [("templates", TEMPLATES), ("template_error", "string")]
+    kept = [f for f in rows.schema.fields if f.name in columns]
+    schema = T.StructType([*sorted(kept, key=lambda f: columns.index(f.name)), *(T.StructField(n, T.DataType.fromDDL(k)) for n, k in added)])
+    names, form = [*columns, *(n for n, _ in added)], (framing.template_set, framing.option_set, framing.enterprise)
 
-def _template_walk(framing: Framing, set_id: str, size: str, h: str) -> str:
-    """SQL fold over the 16-bit numbers ``h`` of a template set of ``size`` bytes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            templates, error = read_announced(batch.column("payload"), batch.column("sets"), *form)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), templates, error], names)
 
-    Every step reads one template header or one field; positions count in numbers.
-    """
-    spec_list = f"array<{SPECIFIER}>"
-    out_list = f"array<struct<template_id:int,fields:{spec_list}>>"
-    end = f"({size} div 2)"
-    options = f"{set_id} = {framing.option_set}"
-
-    def state(**changes):
-        names = ("pos", "need", "scope", "tid", "done", "error", "cur", "out")
-        return "named_struct(" + ", ".join(f"'{n}', {changes.get(n, 'a.' + n)}" for n in names) + ")"
-
-    start = (
-        "named_struct('pos', 0, 'need', 0, 'scope', 0, 'tid', 0, 'done', false, 'error', CAST(NULL AS STRING), "
-        f"'cur', CAST(array() AS {spec_list}), 'out', CAST(array() AS {out_list}))"
-    )
-    one, two, three = (f"get({h}, a.pos{shift})" for shift in ("", " + 1", " + 2"))
-    if framing.enterprise:
-        need, scope = two, f"IF({options}, {three}, 0)"
-    else:
-        quarter = "CAST({} div 4 AS INT)".format
-        need = f"IF({options}, {quarter(two)} + {quarter(three)}, {two})"
-        scope = f"IF({options}, {quarter(two)}, 0)"
-    empty = f"array(named_struct('template_id', {one}, 'fields', CAST(array() AS {spec_list})))"
-    header_size = f"IF({options}, 3, 2)"
-    private = f"{one} >= 32768" if framing.enterprise else "false"
-    field_size = f"IF({private}, 4, 2)" if framing.enterprise else "2"
-    number = f"get({h}, a.pos + 2) * 65536L + get({h}, a.pos + 3)"
-    identity = (
-        f"'element_id', {one} & 32767, 'length', {two}, 'enterprise', IF({private}, {number}, 0L)"
-        if framing.enterprise
-        else f"'element_id', {one}, 'length', {two}, 'enterprise', 0L"
-    )
-    field = f"array(named_struct({identity}, 'scope', size(a.cur) < a.scope))"
-    whole = f"array(named_struct('template_id', a.tid, 'fields', concat(a.cur, {field})))"
-    short = state(done="true", error=quote("template cut short"))
-    next_field = f"a.pos + {field_size}"
-    return f"""aggregate(sequence(1, {size} div 4 + 2), {start}, (a, i) -> CASE
-        WHEN a.done THEN a
-        WHEN a.need > 1 AND {end} - a.pos >= {field_size} THEN {state(pos=next_field, need='a.need - 1', cur=f'concat(a.cur, {field})')}
-        WHEN a.need = 1 AND {end} - a.pos >= {field_size} THEN {state(pos=next_field, need='0', out=f'concat(a.out, {whole})')}
-        WHEN a.need > 0 THEN {short}
-        WHEN {size} - 2 * a.pos <= 4 OR {one} = 0 THEN {state(done='true')}
-        WHEN {end} - a.pos < {header_size} THEN {short}
-        WHEN {need} = 0 THEN {state(pos=f'a.pos + {header_size}', out=f'concat(a.out, {empty})')}
-        ELSE {state(pos=f'a.pos + {header_size}', need=need, scope=scope, tid=one, cur=f'CAST(array() AS {spec_list})')} END)"""
+    return rows.mapInArrow(run, schema)
 
 
 def template_records(datagrams: DataFrame, framing: Framing) -> DataFrame:
     """One row per announced template, option templates included, in announcement order."""
     rows = walked_messages(datagrams, framing)
     keep = _keep(rows)
-    sets = rows.selectExpr(*keep, "payload", "posexplode(walk.sets) AS (set_ix, s)")
-    chosen = sets.where(F.col("s.set_id").isin(framing.template_set, framing.option_set))
-    read = chosen.selectExpr(*keep, "set_ix", "s.set_id AS set_id", "s.len AS len", f"{_halves('s')} AS h")
-    walked = read.selectExpr(*keep, "set_ix", "set_id", f"{_template_walk(framing, 'set_id', 'len', 'h')} AS walk")
-    found = settle(walked, "walk").selectExpr(*keep, "set_ix", "set_id", "posexplode(walk.out) AS (rec_ix, t)")
-    return found.selectExpr(
+    announces = f"exists(walk.sets, s -> s.set_id IN ({framing.template_set}, {framing.option_set}))"
+    found = _announced(rows.where(announces).selectExpr(*keep, "payload", "walk.sets AS sets"), framing, keep)
+    return found.selectExpr(*keep, "explode(templates) AS t").selectExpr(
         *keep,
-        "set_ix",
-        "rec_ix",
-        f"set_id = {framing.option_set} AS is_option",
+        "t.set_ix AS set_ix",
+        "t.rec_ix AS rec_ix",
+        f"t.set_id = {framing.option_set} AS is_option",
         "t.template_id AS template_id",
         "size(filter(t.fields, f -> f.scope)) AS scope_count",
         "t.fields AS fields",
     )
 
 
-def _checked_messages(datagrams: DataFrame, framing: Framing) -> tuple[DataFrame, list[str]]:
-    """Messages with their ``sets`` and ``message_error``, and the columns that identify and describe a message."""
+def _checked_messages(datagrams: DataFrame, framing: Framing, read: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Messages with their ``message_error`` and the columns ``read``, and the columns that identify and describe a message."""
     rows = walked_messages(datagrams, framing)
     keep = _keep(rows)
     names = [*keep, *(c for c in rows.columns if c not in (*keep, "payload", "walk", "proto"))]
-    announces = f"s -> s.set_id IN ({framing.template_set}, {framing.option_set})"
-    errors = f"transform(array({_halves('s')}), h -> {_template_walk(framing, 's.set_id', 's.len', 'h')}.error)"
-    broken = f"filter(flatten(transform(filter(walk.sets, {announces}), s -> {errors})), e -> e IS NOT NULL)"
-    checked = rows.selectExpr(
-        *names, "payload", "walk.sets AS sets", f"coalesce(walk.error, try_element_at({broken}, 1)) AS message_error"
-    )
-    return settle(checked, "message_error"), names
+    framed = rows.selectExpr(*names, "payload", "walk.sets AS sets", "walk.error AS framing_error")
+    checked = _announced(framed, framing, [*names, *read, "framing_error"])
+    return checked.selectExpr(*names, *read, "coalesce(framing_error, template_error) AS message_error"), names
 
 
 def message_errors(datagrams: DataFrame, framing: Framing) -> DataFrame:
@@ -228,7 +188,7 @@ def data_sets(datagrams: DataFrame, framing: Framing) -> DataFrame:
 
     ``message_error`` is set where framing or a template of the message is broken.
     """
-    checked, names = _checked_messages(datagrams, framing)
+    checked, names = _checked_messages(datagrams, framing, ("payload", "sets"))
     return (
         checked.selectExpr(*names, "payload", "message_error", "posexplode(sets) AS (set_ix, s)")
         .where("s.set_id > 255")
