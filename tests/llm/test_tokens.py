@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tokenizers import Tokenizer
 
 from flowlake.llm import bpe
 from flowlake.llm import token_counts as tc
+from flowlake.llm.pretokens import Pretokens
 
 SPECIAL = "<|endoftext|>"
 TEXTS = ["", "a", " a  b\n\n c  \n", "a" * 5000, "ab" * 3000, "=" * 4097, " " * 3000 + "x", "é" * 900, "x y\x1c\x1d \x85 z﷐ q", "日本語" * 300, "  "]
@@ -48,6 +51,52 @@ def test_long_words_by_either_contraction(file):
         assert pairs._contract([w.encode() for w in words], chosen) == [library.encode_ordinary(w) for w in words]
 
 
+def test_a_step_of_short_words_takes_one_row_a_word(pairs):
+    pairs._contract([b"antiontion", b"thereandthere"], bpe._ONE)
+    values = {"steps": 60, "rank_at": 41, "none": 2**21 - 1, "id_bits": 21, "unranked": 2**41 - 1, "chosen": ""}
+    plan = pairs.db.execute("EXPLAIN " + bpe._ONE.format(**values)).fetchall()[0][1].upper()
+    assert "CTE" in plan and not any(node in plan for node in ("WINDOW", "UNNEST", "GROUP BY", "GROUP_BY"))
+
+
+def test_words_of_many_steps_and_equal_pairs(pairs):
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pairs.ranks, special_tokens={})
+    draw = random.Random(5)
+    words = ["".join(draw.choice(x) for _ in range(n)) for x in ("a", "aab", "=-", "antioe", "\x00é日") for n in range(1, 47)]
+    words += ["x" * 300, "ab" * 150]  # more steps than one query takes
+    assert pairs._contract([w.encode() for w in words], bpe._ONE) == [library._encode_single_piece(w.encode()) for w in words]
+
+
+def test_parts_met_again_outlive_rare_ones(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    pairs = bpe.BytePairs(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    contracted, contract = [], pairs._contract_lists
+    monkeypatch.setattr(pairs, "_contract_lists", lambda words: contracted.extend(words) or contract(words))
+    hot = " ".join(f"hotword{x}thn" for x in "abcdefgh")
+    for batch in range(9):
+        pairs.encode([hot + " " + " ".join(f"rare{x}{'qz' * batch}zq" for x in "abcdefghijklmnopqrst")])
+    assert max(sum(w.startswith(b" hot") and w == x for w in contracted) for x in set(contracted)) <= 2
+    assert len(pairs.once) + len(pairs.often) < 80
+
+
+def test_a_word_that_splits_otherwise_alone():
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), r"(?<=a)t+h+|\S| "
+    pairs = bpe.BytePairs(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=pairs.ranks, special_tokens={})
+    for texts in (["tth", "atth"], ["atth", "tth"], ["tth atth", "atth tth"]):
+        assert pairs.encode(texts) == [" ".join(map(str, library.encode_ordinary(t))) for t in texts]
+
+
+def test_parts_of_a_column_are_the_cuts():
+    pretokens = Pretokens(P.PATTERN)
+    every = [*TEXTS, *noise(3, 40), "", " a b", "a  b", "a   b", "end ", "x\u2003  y", "q\x1c \x1d", "\ufdd0 x"]
+    plain = [t for t in every if pc.any(pc.match_substring_regex(pa.array([t]), "[^!-~ ]|  ")).as_py() is False]
+    for texts in (every, plain, [""], ["", ""], []):
+        column = pa.array(["skipped", *texts], pa.large_string())[1:]
+        parts, ends = pretokens.parts(column)
+        found = [parts.to_pylist()[a:b] for a, b in zip(ends, ends[1:])]
+        assert found == [pretokens.cuts(t) for t in texts] and len(plain) > 3
+
+
 def test_bpe_frame(spark):
     rows = [(k, t, "mine") for k, t in enumerate([*TEXTS, None, TEXTS[2]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
