@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one in-memory database per worker.
 
 Tasks get Arrow batches of whole texts. Texts are cut at their spaces as one Arrow column, and each different cut is looked up
-once per batch. Pre-tokens that a worker does not remember (and that are not tokens themselves) are contracted: a word is a row
+once per batch. Pre-tokens that a task does not remember (and that are not tokens themselves) are contracted: a word is a row
 that lists its tokens, each with the rank of the pair it begins; each step of the recursion takes the word's leftmost pair of
 minimum rank and joins only the two pairs that the new token makes with its neighbours to the merge table, until no pair is in
 the table. Long words are token-position rows and contract all occurrences of the minimum pair that do not overlap in one step,
@@ -10,7 +10,8 @@ words to the next one, so memory stays in proportion to one batch. Ids are decod
 aggregation per document.
 
 The plan has no shuffle: documents are independent, and caches hold only what is recomputed at need. Parts met in a second batch
-are remembered apart from those met once, so rare ones do not displace them.
+are remembered apart from those met once, so rare ones do not displace them. Caches last for a task: a worker outlives it, and its
+executor's memory is shared with whatever runs next.
 
 Defined cases: null is the empty text (no tokens, the hash of nothing); further columns stay; repeated rows are encoded each;
 an empty table gives an empty result.
@@ -30,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import small_batches, table
+from flowlake.llm.common import give_back, small_batches, table
 from flowlake.llm.pretokens import Pretokens
 
-#: Text parts that a worker remembers of those met in one batch, and of those met in more; beyond, it forgets the former, or
+#: Text parts that a task remembers of those met in one batch, and of those met in more; beyond, it forgets the former, or
 #: keeps those of the batch at hand of the latter.
 CACHE = 250_000
 #: Pre-tokens that one recursive query takes; a step holds their lists.
@@ -273,6 +274,13 @@ class BytePairs:
     def encode(self, texts: list[str]) -> list[str]:
         return self.encode_column(pa.array(texts, pa.large_string())).to_pylist()
 
+    def rest(self) -> None:
+        """Between tasks a worker holds its tables and no more: other operators' tasks run beside it and in it."""
+        self.once, self.often = {}, {}
+        for name in ("word_lists", "word_tokens", "token_rows"):
+            self.db.execute(f"DROP TABLE IF EXISTS {name}")
+        give_back()
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
         return self.decode_flat(np.concatenate([*ids, np.zeros(0, np.int64)]), np.array([len(x) for x in ids], np.int64))
@@ -313,6 +321,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _pairs(path, pattern)
+        try:
+            yield from coded(pairs, batches)
+        finally:
+            pairs.rest()
+
+    def coded(pairs: BytePairs, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encoded = pairs.encode_column(batch.column("_text").fill_null("").cast(pa.large_string()))
             ids = np.fromstring(" ".join(filter(None, _strings(encoded))) or " ", np.int64, sep=" ")

@@ -13,7 +13,7 @@ stay; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.llm.common import in_fold, small_batches, table, text_of, written
+from flowlake.llm.common import give_back, in_fold, small_batches, table, text_of, written
 
 POSITIVE, NEGATIVE = 4000, 8000
 SIZES = (3, 4, 5, 6)
@@ -31,6 +31,8 @@ SUPPORT, ERRORS = 6, 4.0
 THRESHOLD = 0.3
 #: The sample's n-grams are first counted in so many buckets (2 to this power).
 BUCKETS = 22
+#: Entries, and texts, that the fit handles at a time.
+BLOCK, TEXTS = 1 << 18, 256
 L2, STEPS, RATE = 1e-4, 300, 0.05
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,29 +80,50 @@ def _ratio_and_errors(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_othe
     return np.log(p / q), np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n_toxic + 1 / n_other))
 
 
+def _texts_with(texts: list[str], toxic: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted n-grams in the order in which they are met, and in how many texts of either class each is."""
+    keys, counts, place = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    met: list[np.ndarray] = []
+    labels: list[np.ndarray] = []
+    held = read = 0
+    for k, (text, label) in enumerate(zip(texts, toxic.tolist(), strict=True)):
+        for hashes in gram_hashes(text):
+            met.append(np.unique(hashes[wanted(hashes)]))
+            labels.append(np.full(len(met[-1]), label))
+            held += len(met[-1])
+        if met and (held >= BLOCK or k == len(texts) - 1):
+            place = np.concatenate((place, np.arange(read, read + held)))
+            every, first, at = np.unique(np.concatenate((keys, *met)), return_index=True, return_inverse=True)
+            old, new, label_of = at[: len(keys)], at[len(keys) :], np.concatenate(labels)
+            grown = np.stack([np.bincount(new[label_of == c], minlength=len(every)) for c in (False, True)])
+            grown[:, old] += counts
+            keys, counts, place, read = every, grown, place[first], read + held
+            met, labels, held = [], [], 0
+    order = np.argsort(place)
+    return keys[order], counts[:, order].astype(float)
+
+
 def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     """The model of a sample; ``share`` is that of toxic texts among all labelled ones."""
     n_toxic, n_other = int(toxic.sum()), int((~toxic).sum())
     none = np.zeros(0, np.uint64)
     if not n_toxic or not n_other:
         return Model(none, np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    # buckets that differ between the classes, then the n-grams in them
+    # buckets that differ between the classes, then the n-grams in them; a block at a time, as the task has little memory of its own
     counts = np.zeros((2, 1 << BUCKETS), np.uint32)
     shift = np.uint64(64 - BUCKETS)
     for text, label in zip(texts, toxic.tolist(), strict=True):
         for hashes in gram_hashes(text):
             counts[int(label), np.unique(hashes >> shift)] += 1
-    _, errors = _ratio_and_errors(counts[1].astype(float), counts[0].astype(float), n_toxic, n_other)
-    wanted = (counts[1] >= SUPPORT) & (errors >= ERRORS * 0.75)
-    seen: dict[int, list[int]] = {}
-    for text, label in zip(texts, toxic.tolist(), strict=True):
-        for hashes in gram_hashes(text):
-            for key in np.unique(hashes[wanted[hashes >> shift]]).tolist():
-                seen.setdefault(key, [0, 0])[int(label)] += 1
-    if not seen:
+    wanted = np.zeros(1 << BUCKETS, bool)
+    for begin in range(0, 1 << BUCKETS, BLOCK):
+        other_in, toxic_in = counts[:, begin : begin + BLOCK].astype(float)
+        _, errors = _ratio_and_errors(toxic_in, other_in, n_toxic, n_other)
+        wanted[begin : begin + BLOCK] = (toxic_in >= SUPPORT) & (errors >= ERRORS * 0.75)
+    del counts
+    keys, (other_in, toxic_in) = _texts_with(texts, toxic, lambda hashes: wanted[hashes >> shift])
+    if not len(keys):
         return Model(none, np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    keys = np.array(list(seen), np.uint64)
-    other_in, toxic_in = np.array(list(seen.values()), float).T
     ratio, errors = _ratio_and_errors(toxic_in, other_in, n_toxic, n_other)
     fine = (toxic_in >= SUPPORT) & (errors >= ERRORS)
     best = np.flatnonzero(fine)[np.argsort(-errors[fine], kind="stable")[:FEATURES]]
@@ -108,17 +131,21 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     keys, ratio = keys[best], ratio[best]
     # logistic regression on the scaled values, by Adam
     plain = Model(keys, ratio, 0.0)
-    held = [plain.found(text) for text in texts]
-    row = np.repeat(np.arange(len(texts)), [len(x) for x in held])
-    column = np.concatenate(held)
-    value = ratio[column]
+    held = [plain.found(text).astype(np.int32) for text in texts]
+    blocks = [held[i : i + TEXTS] for i in range(0, len(held), TEXTS)]
+    blocks = [(TEXTS * i, np.repeat(np.arange(len(x), dtype=np.int32), [len(y) for y in x]), np.concatenate(x)) for i, x in enumerate(blocks)]
+    del held
     weight = np.where(toxic, share / n_toxic, (1 - share) / n_other)
     w, bias = np.zeros(len(keys)), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(row, value * w[column], len(texts))
-        wrong = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
-        gradient = np.append(np.bincount(column, value * wrong[row], len(keys)) + L2 * w, wrong.sum())
+        scaled, total, wrong = ratio * w, np.zeros(len(keys)), np.zeros(len(texts))
+        for begin, row, column in blocks:
+            these = slice(begin, begin + TEXTS)
+            z = bias + np.bincount(row, scaled[column], len(weight[these]))
+            wrong[these] = weight[these] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic[these])
+            np.add.at(total, column, ratio[column] * wrong[these][row])
+        gradient = np.append(total + L2 * w, wrong.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
@@ -142,6 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2)
         rows = sorted((i, y > 0, t) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
         model = fit([t for _, _, t in rows], np.array([y for _, y, _ in rows], bool), share)
         keys = pa.array(np.append(model.keys.view(np.int64), 0))
+        del rows
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [keys, pa.array(np.append(model.weights, model.bias)), pa.array(np.append(np.zeros(len(model.keys), bool), True))],
             ["key", "weight", "bias"],
