@@ -14,6 +14,7 @@ from flowlake.functions.sampled import Datagrams
 from flowlake.operators import messages as m
 from flowlake.operators import sflow as sf
 from flowlake.operators import sflow_messages as sm
+from flowlake.plans import catalog
 from flowlake.plans import fixtures as fx
 
 
@@ -63,6 +64,13 @@ def test_address_texts():
     assert read.mac_texts(octets[:, :6]).to_pylist() == [x[:6].hex(":") for x in sixteen]
 
 
+def test_words_of_absent_counters_are_not_made(spark, tmp_path):
+    """Words of a kind that a sample lacks are no rows that a filter takes out again."""
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(50).write.parquet(str(tmp_path / "lineitem.parquet"))
+    frame = catalog.QUERIES["parse_sflow_messages"](spark, str(tmp_path))
+    assert plan(frame).count("if (isnotnull(c") >= len(sf.COUNTERS) and frame.count() > 50
+
+
 def test_words_are_packed_by_eights(spark):
     row = spark.range(1).selectExpr("-2 AS a", "70000 AS b", "CAST(NULL AS INT) AS c")
     parts = [("a", 1), ("b", 2), ("a", 4), ("b", 1), ("a", 8), ("b", 3)]
