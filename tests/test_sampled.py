@@ -7,15 +7,17 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from test_datagrams import ETHERNET, IPV4, UDP, datagrams, flow_sample, plan, raw_header, sflow, tagged
+from test_datagrams import ETHERNET, IPV4, RECORD, T256, UDP, datagrams, flow_sample, fset, ipfix, plan, raw_header, sflow, tagged
 
 from flowlake.functions import sampled_messages as read
 from flowlake.functions.sampled import Datagrams
+from flowlake.operators import ipfix as ix
 from flowlake.operators import messages as m
 from flowlake.operators import sflow as sf
 from flowlake.operators import sflow_messages as sm
 from flowlake.plans import catalog
 from flowlake.plans import fixtures as fx
+from flowlake.sources.elements import default_elements
 
 
 def test_walks_take_no_fold(spark):
@@ -78,3 +80,13 @@ def test_words_are_packed_by_eights(spark):
     assert fx._words(*parts).count("hex(") - fx._words(*parts).count("unhex(") == 3
     got = row.select(F.expr(fx._words(*parts)).alias("x"), F.expr(fx._words(("a", 2), ("c", 2))).alias("y")).first()
     assert (bytes(got.x), got.y) == (expected, None)
+
+
+def test_fields_do_not_move(spark):
+    """Messages are assembled and their fields counted where the records came together: one exchange, by message."""
+    frame = datagrams(spark, [ipfix(fset(2, T256)), ipfix(fset(256, RECORD)), ipfix(fset(256, RECORD * 2))])
+    counted = catalog._through_json(ix.ipfix_table(frame, default_elements(spark), on_error="keep_sets"), "ipfix")
+    moved = [line for line in plan(counted).splitlines() if "Exchange hashpartitioning" in line and "msg_id" in line]
+    assert len(moved) == 1 and "hashpartitioning(msg_id" in moved[0]
+    found = {(r.msg_id, r.element_id, r.value): r.n for r in counted.collect()}
+    assert found == {(1, 8, "10.0.0.14"): 1, (1, 7, "2380"): 1, (2, 8, "10.0.0.14"): 2, (2, 7, "2380"): 2}
