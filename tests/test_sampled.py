@@ -90,3 +90,20 @@ def test_fields_do_not_move(spark):
     assert len(moved) == 1 and "hashpartitioning(msg_id" in moved[0]
     found = {(r.msg_id, r.element_id, r.value): r.n for r in counted.collect()}
     assert found == {(1, 8, "10.0.0.14"): 1, (1, 7, "2380"): 1, (2, 8, "10.0.0.14"): 2, (2, 7, "2380"): 2}
+
+
+def test_json_text_of_fields(spark):
+    """Usual fields are written without a JSON value in between, with the text that it would have."""
+    field = "struct<I:int,V:string,E:bigint,num:boolean>"
+    odd = [(1, "5\n", None, True), (1, 'a"b\\c', 0, False), (2, "ü\u0001", 9, False), (3, None, 9, False), (None, "x", None, False),
+           (4, "true", None, True), (4, "-0", None, True), (4, "18446744073709551615", 0, True), (5, "7", 29305, None), (6, "", None, False)]
+    rows = spark.createDataFrame(
+        [(0, "a", (1,), [odd, [], None]), (1, "a", None, None), (2, None, None, []), (3, None, None, None), (4, None, (None,), [odd[:1] + [None]])],
+        f"i int, AgentID string, Header struct<x:int>, DataSets array<array<{field}>>",
+    )
+    plain = rows.select("i", F.to_json(F.struct("AgentID", "Header", F.transform("DataSets", lambda r: F.transform(r, lambda f: F.struct(
+        f["I"].alias("I"), m._json_value(f).alias("V"), m._enterprise(f).alias("E")))).alias("DataSets"))).alias("value"))
+    assert m.encode_message(rows).orderBy("i").collect() == plain.orderBy("i").collect()
+    usual = rows.where("i = 0").selectExpr("i", "AgentID", "Header", "array(array(DataSets[0][8], DataSets[0][9])) AS DataSets")
+    assert m.encode_message(usual).first().value == '{"AgentID":"a","Header":{"x":1},"DataSets":[[{"I":5,"V":"7","E":29305},{"I":6,"V":""}]]}'
+    assert "rlike" in plan(m.encode_message(usual)).lower() and "array_join" in plan(m.encode_message(usual))
